@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.jaccard_join import op10_ngram_jaccard_join
+from lattica.llm.quality import op2_quality_classifier
 from lattica.llm.secrets import op1_secret_scans
 from lattica.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_quality_classifier": op2_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
