@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.jaccard_join import op10_ngram_jaccard_join
+from lattica.llm.licenses import license_sql, op4_license_scans
 from lattica.llm.packing import op8_best_fit_packing
 from lattica.llm.quality import op2_quality_classifier
 from lattica.llm.secrets import op1_secret_scans
@@ -15,9 +16,12 @@ from lattica.llm.toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_license_scans": op4_license_scans,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_license_scans": license_sql(),
+}
