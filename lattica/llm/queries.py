@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.llm.ann import op3_nearest_neighbours
+from lattica.llm.exact_topk import TOPK_SQL, op6_exact_topk
 from lattica.llm.jaccard_join import op10_ngram_jaccard_join
 from lattica.llm.licenses import license_sql, op4_license_scans
 from lattica.llm.packing import op8_best_fit_packing
@@ -16,7 +18,9 @@ from lattica.llm.toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_license_scans": op4_license_scans,
+    "op6_exact_topk": op6_exact_topk,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
@@ -24,4 +28,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op4_license_scans": license_sql(),
+    "op6_exact_topk": TOPK_SQL,
 }
