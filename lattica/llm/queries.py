@@ -10,7 +10,9 @@ from lattica.llm.ann import op3_nearest_neighbours
 from lattica.llm.exact_topk import TOPK_SQL, op6_exact_topk
 from lattica.llm.jaccard_join import op10_ngram_jaccard_join
 from lattica.llm.licenses import license_sql, op4_license_scans
+from lattica.llm.nbest import op5_nbest_pieces
 from lattica.llm.packing import op8_best_fit_packing
+from lattica.llm.pii import op7_surrogates
 from lattica.llm.quality import op2_quality_classifier
 from lattica.llm.secrets import op1_secret_scans
 from lattica.llm.toxicity import op9_toxicity
@@ -20,7 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_license_scans": op4_license_scans,
+    "op5_nbest_pieces": op5_nbest_pieces,
     "op6_exact_topk": op6_exact_topk,
+    "op7_surrogates": op7_surrogates,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
