@@ -136,9 +136,9 @@ def welch(table: DataFrame, by: list[str], sample: Column, value: str) -> DataFr
     v = F.col(value).cast("double")
     one, two = F.when(sample, v), F.when(~sample, v)
     s = table.groupBy(*by).agg(*[f(x).alias(f"{n}{i}") for i, x in ((1, one), (2, two)) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))])
-    e1, e2 = F.col("var1") / F.col("n1"), F.col("var2") / F.col("n2")
-    t = (F.col("mean1") - F.col("mean2")) / F.sqrt(e1 + e2)
-    df = F.pow(e1 + e2, 2) / (e1 * e1 / (F.col("n1") - 1) + e2 * e2 / (F.col("n2") - 1))
+    e1, e2 = F.try_divide("var1", "n1"), F.try_divide("var2", "n2")
+    t = F.try_divide(F.col("mean1") - F.col("mean2"), F.sqrt(e1 + e2))
+    df = F.try_divide(F.pow(e1 + e2, 2), e1 * e1 / F.nullif(F.col("n1") - 1, F.lit(0)) + e2 * e2 / F.nullif(F.col("n2") - 1, F.lit(0)))
     out = s.where("n1 > 1 and n2 > 1").where(e1 + e2 > 0).select(*by, "n1", "n2", t.alias("t"), df.alias("df"))
     return out.withColumn("p", t_two_tailed(F.col("t"), F.col("df")))
 
@@ -146,7 +146,7 @@ def welch(table: DataFrame, by: list[str], sample: Column, value: str) -> DataFr
 def correlation(x: Column, y: Column) -> Column:
     """Pearson's coefficient as an aggregate; 1 where a side does not vary."""
     flat = (F.var_pop(x) == 0) | (F.var_pop(y) == 0)
-    return F.when(flat, 1.0).otherwise(F.corr(x, y))
+    return F.when(flat, 1.0).otherwise(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def number_of_bins(n: Column) -> Column:

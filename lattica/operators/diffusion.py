@@ -21,13 +21,13 @@ def approximate_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15
     both = cut(symmetric(edges).join(degrees(edges), "node"))
     known = both.select("node").distinct()
     state = seeds.select(F.col("node").alias("seed"), "node").join(known, "node", "left_semi").select("seed", "node", F.lit(0.0).alias("p"), F.lit(1.0).alias("r"))
-    deg = degrees(edges)
-    state = cut(state)
-    for _ in range(max_rounds):
+    deg = cut(degrees(edges))
+    for i in range(max_rounds):
         now = state.join(deg, "node").select("seed", "node", "p", "r", "degree", (F.col("r") / F.col("degree") >= epsilon).alias("active"))
-        now = cut(now)
-        if now.where("active").isEmpty():
-            break
+        if i % 4 == 0:  # a round without active nodes changes nothing
+            now = cut(now)
+            if now.where("active").isEmpty():
+                break
         kept = now.select("seed", "node", F.when(F.col("active"), F.col("p") + alpha * F.col("r")).otherwise(F.col("p")).alias("p"), F.when(F.col("active"), (1 - alpha) * F.col("r") / 2).otherwise(F.col("r")).alias("r"))
         sent = now.where("active").select("seed", "node", ((1 - alpha) * F.col("r") / (2 * F.col("degree"))).alias("s")).join(both.select("node", "neighbour"), "node")
         sent = sent.select("seed", F.col("neighbour").alias("node"), F.lit(0.0).alias("p"), F.col("s").alias("r"))

@@ -25,7 +25,7 @@ def z_score_by_sample(m: DataFrame) -> DataFrame:
 
 def z_score(m: DataFrame) -> DataFrame:
     s = m.agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
-    return m.crossJoin(F.broadcast(s)).select("feature", "sample", ((F.col("value") - F.col("_m")) / F.col("_s")).alias("value"))
+    return m.crossJoin(F.broadcast(s)).select("feature", "sample", F.try_divide(F.col("value") - F.col("_m"), F.col("_s")).alias("value"))
 
 
 def rank_by_sample(m: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def discretise(m: DataFrame, by: str = "feature") -> DataFrame:
     own = m.where("value is not null")
     g = _by_group(own, by, F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"), F.count(F.lit(1)).alias("_n"))
     bins = number_of_bins(F.col("_n"))
-    raw = F.floor((F.col("value") - F.col("_m") + 2 * F.col("_s")) / (4 * F.col("_s") / bins)).cast("int")
+    raw = F.floor(F.try_divide(F.col("value") - F.col("_m") + 2 * F.col("_s"), 4 * F.col("_s") / bins)).cast("int")
     last = bins - 1
     return g.withColumn("bin", F.when(F.col("_s") == 0, last).otherwise(F.least(F.greatest(raw, F.lit(0)), last))).drop("_m", "_s", "_n")
 
