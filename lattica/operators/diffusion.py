@@ -16,7 +16,7 @@ def approximate_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15
     """``(seed, node, p, residue)`` by pushes in rounds: every node whose residue per edge is ``epsilon`` or more is pushed at once.
 
     A push moves alpha of the residue to p, keeps half of the rest and spreads the other half over the neighbours. It
-    stops when no node is active, so residues obey the same bound as those of one-by-one pushes.
+    stops when no node is active, so residues obey the same bound as those of one-by-one pushes, or after ``max_rounds``.
     """
     both = cut(symmetric(edges).join(degrees(edges), "node"))
     known = both.select("node").distinct()
@@ -24,10 +24,9 @@ def approximate_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15
     deg = cut(degrees(edges))
     for i in range(max_rounds):
         now = state.join(deg, "node").select("seed", "node", "p", "r", "degree", (F.col("r") / F.col("degree") >= epsilon).alias("active"))
-        if i % 4 == 0:  # a round without active nodes changes nothing
-            now = cut(now)
-            if now.where("active").isEmpty():
-                break
+        now = cut(now)
+        if i % 4 == 0 and now.where("active").isEmpty():  # a round without active nodes changes nothing
+            break
         kept = now.select("seed", "node", F.when(F.col("active"), F.col("p") + alpha * F.col("r")).otherwise(F.col("p")).alias("p"), F.when(F.col("active"), (1 - alpha) * F.col("r") / 2).otherwise(F.col("r")).alias("r"))
         sent = now.where("active").select("seed", "node", ((1 - alpha) * F.col("r") / (2 * F.col("degree"))).alias("s")).join(both.select("node", "neighbour"), "node")
         sent = sent.select("seed", F.col("neighbour").alias("node"), F.lit(0.0).alias("p"), F.col("s").alias("r"))
@@ -65,8 +64,11 @@ def sweep(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return cum.select("seed", "position", "node", "volume", "boundary", (F.col("boundary") / F.nullif(F.least(F.col("volume"), F.col("vol") - F.col("volume")), F.lit(0))).alias("conductance"))
 
 
-def nibble(edges: DataFrame, seeds: DataFrame, phi: float, b: int) -> DataFrame:
-    """``(seed, node)``: the first prefix with conductance under ``phi`` and volume between 2^(b-1) and two thirds of the whole."""
+def nibble(edges: DataFrame, seeds: DataFrame, phi: float, b: int, max_rounds: int = 40) -> DataFrame:
+    """``(seed, node)``: the first prefix with conductance under ``phi`` and volume between 2^(b-1) and two thirds of the whole.
+
+    The return chance that ``phi`` asks for is so small that pushes settle slowly; ``max_rounds`` ends them.
+    """
     if not 0 < phi <= 1 or b < 1:
         raise ValueError("phi lies in (0, 1], b is 1 or more")
     m = edges.count()
@@ -76,7 +78,7 @@ def nibble(edges: DataFrame, seeds: DataFrame, phi: float, b: int) -> DataFrame:
     if b > top:
         raise ValueError(f"b is at most {top}")
     alpha = phi * phi / (225 * math.log(100 * math.sqrt(m)))
-    s = sweep(edges, approximate_pagerank(edges, seeds, alpha, 2.0**-b / (48 * top)))
+    s = sweep(edges, approximate_pagerank(edges, seeds, alpha, 2.0**-b / (48 * top), max_rounds))
     first = s.where((F.col("conductance") < phi) & (F.col("volume") > 2 ** (b - 1)) & (F.col("volume") < 4 * m / 3)).groupBy("seed").agg(F.min("position").alias("last"))
     return s.join(first, "seed").where("position <= last").select("seed", "node")
 

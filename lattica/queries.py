@@ -702,7 +702,8 @@ def _(spark, d):
 
 @query("tree_cut", "WITH RECURSIVE p AS (SELECT p_brand, avg(p_retailprice) AS x, avg(p_size) AS y FROM part GROUP BY p_brand), e AS (SELECT l.p_brand AS src, r.p_brand AS dst FROM p l JOIN p r ON l.p_brand <> r.p_brand WHERE sqrt(pow(l.x - r.x, 2) + pow(l.y - r.y, 2)) <= 3), t(node, c) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, c FROM t JOIN e ON e.src = t.node) SELECT node, min(c) AS cluster FROM t GROUP BY node")
 def _(spark, d):
-    return clustering.cut_tree(clustering.agglomerate(_brand_pairs(spark, d), "single"), 3.0)
+    merges = clustering.spanning_forest(_brand_pairs(spark, d)).select(F.col("src").alias("left"), F.col("dst").alias("right"), "distance")
+    return clustering.cut_tree(merges, 3.0)
 
 
 @query("self_organising_map")
