@@ -8,7 +8,7 @@ only), and two entities have two: all distinct entities of the corpus are checke
 another's or with a real entity, and the later ones are keyed anew until none does.
 
 Defined results: a null text stays null and has no entity; a null doc_id keeps its row; repeated rows get equal
-surrogates; extra columns are kept; an empty table stays empty.
+surrogates; extra columns are kept, but for one named ``entities``; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -172,22 +172,22 @@ def replace_personal_data(docs: DataFrame, key: str = "lattica") -> DataFrame:
     """``docs`` with surrogates in ``text`` and the array ``entities`` of (kind, surrogate) in order of place."""
     fixes = collisions(docs, key)
     none = F.array().cast("array<string>")
-    work = docs.withColumn("_hits", F.when(F.col("text").rlike(ANY), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
+    work = docs.withColumn("__hits", F.when(F.col("text").rlike(ANY), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
     attempt = lambda e: F.lit(0)
     if not fixes.isEmpty():
-        row = {"_a": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_b": F.xxhash64("text")}
-        hit = work.where(F.size("_hits") > 0).select(*[c.alias(n) for n, c in row.items()], F.explode("_hits").alias("e")).distinct()
+        row = {"__a": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__b": F.xxhash64("text")}
+        hit = work.where(F.size("__hits") > 0).select(*[c.alias(n) for n, c in row.items()], F.explode("__hits").alias("e")).distinct()
         hit = hit.withColumn("kind", kind_of(F.col("e")))
         hit = hit.withColumn("norm", normal_form(F.col("e"), F.col("kind"))).join(fixes, ["kind", "norm"])
-        again = hit.groupBy("_a", "_b").agg(F.map_from_entries(F.collect_set(F.struct("e", "attempt"))).alias("_again"))
-        work = work.withColumns(row).join(again, ["_a", "_b"], "left").drop("_a", "_b")
-        attempt = lambda e: F.coalesce(F.try_element_at(F.col("_again"), e), F.lit(0))
-    work = work.withColumn("_items", surrogates(F.col("_hits"), key, attempt))
-    parts = F.arrays_zip(F.split("text", ANY, -1).alias("gap"), F.transform("_items", lambda x: x["new"]).alias("new"))
+        again = hit.groupBy("__a", "__b").agg(F.map_from_entries(F.collect_set(F.struct("e", "attempt"))).alias("__again"))
+        work = work.withColumns(row).join(again, ["__a", "__b"], "left").drop("__a", "__b")
+        attempt = lambda e: F.coalesce(F.try_element_at(F.col("__again"), e), F.lit(0))
+    work = work.withColumn("__items", surrogates(F.col("__hits"), key, attempt))
+    parts = F.arrays_zip(F.split("text", ANY, -1).alias("gap"), F.transform("__items", lambda x: x["new"]).alias("new"))
     text = F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(p["new"], F.lit("")))), "")
-    entities = F.transform("_items", lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("surrogate")))
-    out = work.withColumn("entities", entities).withColumn("text", F.when(F.size("_hits") == 0, F.col("text")).otherwise(text))
-    return out.select(*docs.columns, "entities")
+    entities = F.transform("__items", lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("surrogate")))
+    out = work.withColumn("entities", entities).withColumn("text", F.when(F.size("__hits") == 0, F.col("text")).otherwise(text))
+    return out.select(*[c for c in docs.columns if c != "entities"], "entities")
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

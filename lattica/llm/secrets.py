@@ -9,7 +9,7 @@ is linear in the parts. A weak secret is reported when an identifier is in its s
 endpoint when both are.
 
 Defined results: a null text is an empty one and has no span; a null doc_id keeps its row; repeated rows are scanned
-one by one and give equal rows; extra columns are ignored.
+one by one and give equal rows; extra columns are kept, but for ``base_spans`` and ``secret_spans`` of a scan.
 """
 
 from __future__ import annotations
@@ -71,44 +71,44 @@ def _scan(docs: DataFrame) -> DataFrame:
     """Adds the strong spans and whether a weak pattern occurs at all."""
     strong = F.concat(*[find_spans(_text(), k, *v) for k, v in STRONG.items()])
     hint = "|".join(v[0] for v in WEAK.values())
-    return docs.withColumn("_strong", F.array_sort(strong)).withColumn("_hint", _text().rlike(hint))
+    return docs.withColumn("__strong", F.array_sort(strong)).withColumn("__hint", _text().rlike(hint))
 
 
 def _link(hinted: DataFrame, scope: int) -> DataFrame:
-    """``(_a, _b, _linked)``: for each document the weak spans whose complementary parts lie in scope."""
-    parts = hinted.select("_a", "_b", F.explode(F.concat("_strong", "_weak")).alias("s")).distinct()
+    """``(__a, __b, __linked)``: for each document the weak spans whose complementary parts lie in scope."""
+    parts = hinted.select("__a", "__b", F.explode(F.concat("__strong", "__weak")).alias("s")).distinct()
     role = F.when(F.col("s.kind").isin([KINDS.index(k) for k in IDENTIFIERS]), 0).when(F.col("s.kind").isin([KINDS.index(k) for k in SECRETS]), 1).otherwise(2)
     parts = parts.withColumn("role", role).withColumn("bucket", F.floor(F.col("s.start") / scope))
-    sums = parts.where("role < 2").groupBy("_a", "_b", "bucket", "role").agg(F.min("s.start").alias("first"), F.max("s.start").alias("last"))
+    sums = parts.where("role < 2").groupBy("__a", "__b", "bucket", "role").agg(F.min("s.start").alias("first"), F.max("s.start").alias("last"))
     probes = parts.where(F.col("s.kind") >= len(STRONG))
     needs = F.when(F.col("role") == 0, F.array(F.lit(1))).when(F.col("role") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
     probes = probes.withColumn("n_needs", F.size(needs)).withColumn("need", F.explode(needs)).withColumn("near", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    probes = probes.select("_a", "_b", "s", "n_needs", "need", "near", (F.col("bucket") + F.col("near")).alias("bucket"))
+    probes = probes.select("__a", "__b", "s", "n_needs", "need", "near", (F.col("bucket") + F.col("near")).alias("bucket"))
     sums = sums.withColumnRenamed("role", "need")
-    met = probes.join(sums, ["_a", "_b", "bucket", "need"]).where(
+    met = probes.join(sums, ["__a", "__b", "bucket", "need"]).where(
         ((F.col("near") == 0)) | ((F.col("near") < 0) & (F.col("last") >= F.col("s.start") - scope)) | ((F.col("near") > 0) & (F.col("first") <= F.col("s.start") + scope))
     )
-    met = met.groupBy("_a", "_b", "s").agg(F.countDistinct("need").alias("n"), F.first("n_needs").alias("n_needs")).where("n = n_needs")
-    return met.groupBy("_a", "_b").agg(F.array_sort(F.collect_list("s")).alias("_linked"))
+    met = met.groupBy("__a", "__b", "s").agg(F.countDistinct("need").alias("n"), F.first("n_needs").alias("n_needs")).where("n = n_needs")
+    return met.groupBy("__a", "__b").agg(F.array_sort(F.collect_list("s")).alias("__linked"))
 
 
 def scan_secrets(docs: DataFrame, scope: int = 400) -> DataFrame:
     """``docs`` with ``base_spans`` and ``secret_spans``: sorted arrays of (start, kind, stop), kinds as in ``KINDS``."""
     seen = _scan(docs)
-    plain = seen.where(~F.col("_hint")).withColumn("_linked", F.expr(f"cast(array() as {SPAN})"))
+    plain = seen.where(~F.col("__hint")).withColumn("__linked", F.expr(f"cast(array() as {SPAN})"))
     weak = F.concat(*[find_spans(_text(), k, *v) for k, v in WEAK.items()])
-    apart = F.filter(weak, lambda w: ~F.exists("_strong", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
-    hinted = seen.where("_hint").withColumn("_weak", apart)
-    hinted = cut(hinted.withColumn("_a", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_b", F.xxhash64("text")))
-    linked = hinted.join(_link(hinted, scope), ["_a", "_b"], "left").withColumn("_linked", F.coalesce("_linked", F.expr(f"cast(array() as {SPAN})")))
+    apart = F.filter(weak, lambda w: ~F.exists("__strong", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
+    hinted = seen.where("__hint").withColumn("__weak", apart)
+    hinted = cut(hinted.withColumn("__a", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__b", F.xxhash64("text")))
+    linked = hinted.join(_link(hinted, scope), ["__a", "__b"], "left").withColumn("__linked", F.coalesce("__linked", F.expr(f"cast(array() as {SPAN})")))
     both = plain.unionByName(linked.select(*plain.columns))
-    both = both.withColumn("base_spans", F.col("_strong")).withColumn("secret_spans", F.array_sort(F.concat("_strong", "_linked")))
-    return both.drop("_strong", "_hint", "_linked")
+    both = both.withColumn("base_spans", F.col("__strong")).withColumn("secret_spans", F.array_sort(F.concat("__strong", "__linked")))
+    return both.drop("__strong", "__hint", "__linked")
 
 
 def redact(docs: DataFrame, scope: int = 400, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret span of the text replaced by ``mask`` and ``n_chars``, where present, brought up to date."""
-    found = scan_secrets(docs, scope)
+    found = scan_secrets(docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row")), scope)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -117,10 +117,10 @@ def redact(docs: DataFrame, scope: int = 400, mask: str = "[SECRET]") -> DataFra
 
     done = F.aggregate("secret_spans", start, step)
     text = F.when(F.size("secret_spans") == 0, F.col("text")).otherwise(F.concat(done["out"], F.substr(F.col("text"), done["at"] + 1)))
-    out = found.withColumn("text", text)
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("secret_spans") == 0, F.col("__row.n_chars")).otherwise(F.length(text).cast("long"))
+    return found.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def _written(spans: str) -> Column:
