@@ -60,6 +60,19 @@ def map_sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda it: stream_groups(it, keys, fn), schema)
 
 
+def portions(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of whole texts of about ``chars`` characters together, so that what is derived from a batch stays small."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        own = len(t) if t else 0
+        if i > start and size + own > chars:
+            yield start, i
+            start, size = i, 0
+        size += own
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 

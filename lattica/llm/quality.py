@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fit_logistic, held_out, sigmoid, training_sample
+from lattica.llm.common import fit_logistic, held_out, portions, sigmoid, training_sample
 from lattica.session import cut, table
 
 PREDICT_AT = 0.3
@@ -152,6 +152,10 @@ def fit_field(x: np.ndarray, counts: np.ndarray, y: np.ndarray, l2: float = 2e-3
 
 def document_quality(texts: list[str | None], field: LineField) -> np.ndarray:
     """Length-weighted mean of the lines' marginals and the weighted share of lines that are clearly bad, by document."""
+    return np.concatenate([_portion_quality(texts[a:b], field) for a, b in portions(texts)]) if len(texts) else np.zeros((0, 2))
+
+
+def _portion_quality(texts: list[str | None], field: LineField) -> np.ndarray:
     x, length, counts = line_features(texts)
     good, _ = marginals(x @ field.emission, counts, field.transition)
     weight = length + 1.0
@@ -171,9 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> LineField:
 
     def features(batches):
         for batch in batches:
-            x, _, counts = line_features(batch["text"].tolist())
-            at = np.concatenate([[0], np.cumsum(counts)])
-            yield pd.DataFrame({"y": batch["y"].to_numpy(), "n": counts, "x": [x[a:b].astype("<f4").tobytes() for a, b in zip(at, at[1:])]})
+            texts, y = batch["text"].tolist(), batch["y"].to_numpy()
+            for start, stop in portions(texts):
+                x, _, counts = line_features(texts[start:stop])
+                at = np.concatenate([[0], np.cumsum(counts)])
+                yield pd.DataFrame({"y": y[start:stop], "n": counts, "x": [x[a:b].astype("<f4").tobytes() for a, b in zip(at, at[1:])]})
 
     found = rows.where("part > 0").mapInPandas(features, "y int, n long, x binary").toPandas()
     if found.empty or found["y"].nunique() < 2:
