@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
+BATCH_ROWS = 500
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -57,7 +58,16 @@ def stream_groups(batches: Iterator[pd.DataFrame], keys: list[str], fn: Callable
 
 def map_sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """One shuffle on ``keys``, then ``fn`` on each group. The caller bounds the size of a group."""
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda it: stream_groups(it, keys, fn), schema)
+    return small_batches(df).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda it: stream_groups(it, keys, fn), schema)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; its session from now on hands Python at most ``BATCH_ROWS`` rows at once, as one text may be very long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def portions(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import map_sorted_groups, portions
+from lattica.llm.common import map_sorted_groups, portions, small_batches
 from lattica.llm.shingles import hash_family, min_hashes, mix, set_key, shingle_sets
 from lattica.operators.components import connected_components
 from lattica.session import cut, table
@@ -50,7 +50,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 hashes = [mix((min_hashes(s, a, b).reshape(bands, rows) * weight).sum(axis=1, dtype=np.uint64) ^ place).astype(np.int64) if len(s) else None for s in sets]
                 yield pd.DataFrame({"doc_id": ids[start:stop], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "n_shingles": [len(s) for s in sets], "bands": hashes})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInPandas(run, SIGNATURE)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInPandas(run, SIGNATURE)
 
 
 def _verify(threshold: float, width: int):

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.llm.common import small_batches
 from lattica.session import table
 
 # Word pattern, phrases and their labels.
@@ -96,9 +97,10 @@ def template_frequencies(docs: DataFrame) -> dict[str, int]:
             counts: Counter = Counter()
             for t in batch["text"]:
                 counts.update(wanted.intersection(words_of(t)))
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+            if counts:
+                yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
-    found = docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = small_batches(docs).select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r["word"]: r["n"] for r in found.collect()}
 
 
@@ -143,12 +145,12 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
         for batch in batches:
             rows = pd.DataFrame([one(t) for t in batch["text"]], columns=names)
-            rows["first_word"], rows["last_word"] = rows["first_word"].astype("Int64"), rows["last_word"].astype("Int64")
+            rows["first_word"], rows["last_word"] = rows["first_word"].astype(float), rows["last_word"].astype(float)
             rows.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield rows
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

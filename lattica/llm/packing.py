@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.llm.common import small_batches
 from lattica.session import cut, table
 
 CAPACITY = 4096
@@ -137,7 +138,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                     rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": batch["doc_id"].dtype})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
 
 
 def _take(free: np.ndarray, lengths: tuple[int, ...]) -> int:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fit_logistic, held_out, portions, sigmoid, training_sample
+from lattica.llm.common import fit_logistic, held_out, portions, sigmoid, small_batches, training_sample
 from lattica.session import cut, table
 
 PREDICT_AT = 0.3
@@ -169,7 +169,7 @@ def _portion_quality(texts: list[str | None], field: LineField) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> LineField:
     """The field and its curve from a bounded sample; only line features and marginals come to the driver."""
     sample = training_sample(labels, "quality", max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
     rows = cut(rows.select("text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("part")))
     width = len(line_features([""])[0][0])
 
@@ -210,7 +210,7 @@ def score(docs: DataFrame, field: LineField) -> DataFrame:
             p, q = _probability(batch["text"].tolist(), field) if len(batch) else ([], [])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": p, "line_quality": q})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double, line_quality double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double, line_quality double")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -221,7 +221,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     def of(text: pd.Series) -> pd.Series:
         return pd.Series(_probability(text.tolist(), field)[0] if len(text) else [], dtype=float)
 
-    return docs.where(of(F.col("text")) >= PREDICT_AT)
+    return small_batches(docs).where(of(F.col("text")) >= PREDICT_AT)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

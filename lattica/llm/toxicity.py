@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,11 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fit_logistic, held_out, sigmoid, training_sample
+from lattica.llm.common import fit_logistic, held_out, sigmoid, small_batches, training_sample
 from lattica.session import cut, table
 
 WORD = re.compile(r"\w+")
-MEMO = 400_000
+MEMO = 200_000
+HELD = 200_000
 
 
 def word_features(word: str) -> list[str]:
@@ -115,17 +117,24 @@ def _feature_counts(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
 
     def run(batches):
         memo = Memo(lambda w: [f for f in word_features(w) if wanted is None or f in wanted])
+        counts: dict[int, Counter] = {}
+        total: Counter = Counter()
+
+        def flush():
+            for y, c in counts.items():
+                yield pd.DataFrame({"feature": ["", *c], "y": y, "n": [total.pop(y, 0), *c.values()]})
+            counts.clear()
+
         for batch in batches:
-            for y, part in batch.groupby("y"):
-                counts: Counter = Counter()
-                total = 0
-                for text in part["text"]:
-                    words = set(WORD.findall((text or "").lower()))
-                    total += len(words)
-                    counts.update({f for w in words for f in memo[w]})
-                yield pd.DataFrame({"feature": ["", *counts], "y": y, "n": [total, *counts.values()]})
+            for y, text in zip(batch["y"].tolist(), batch["text"]):
+                words = set(WORD.findall((text or "").lower()))
+                total[y] += len(words)
+                counts.setdefault(y, Counter()).update({f for w in words for f in memo[w]})
+            if sum(map(len, counts.values())) > HELD:
+                yield from flush()
+        yield from flush()
 
-    return docs.select("text", "y").mapInPandas(run, "feature string, y int, n long").groupBy("feature", "y").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select("text", "y").mapInPandas(run, "feature string, y int, n long").groupBy("feature", "y").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, lexicon_size: int = 4_000, min_toxic: int = 5, prior: float = 2_000.0, min_log_odds: float = 4.0) -> ToxicityModel:
@@ -143,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, lexicon_size
     counts = _feature_counts(first, wanted).toPandas()
     by = {(f, y): n for f, y, n in counts.itertuples(index=False)}
     n_t, n_c = by.get(("", 1), 1), by.get(("", 0), 1)
+    prior = min(prior, 0.01 * (n_t + n_c))
     ranked = sorted((f for f in wanted if _log_odds(by, f, n_t, n_c, prior, None) >= min_log_odds - 1), key=lambda f: (-by[f, 1], f))[:lexicon_size]
     everywhere = _feature_counts(docs.select("text", F.lit(0).alias("y")), set(ranked)).toPandas()
     corpus = dict(zip(everywhere["feature"], everywhere["n"]))
@@ -195,7 +205,7 @@ def _evidence_rows(rows: DataFrame, model: ToxicityModel, raw: bool) -> DataFram
                 out.append((y, n, len(seg), best, excess))
             yield pd.DataFrame(out, columns=["y", "n_words", "n_segments", "best", "excess"])
 
-    return rows.select("y", "text").mapInPandas(run, "y int, n_words long, n_segments long, best double, excess double")
+    return small_batches(rows).select("y", "text").mapInPandas(run, "y int, n_words long, n_segments long, best double, excess double")
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -214,7 +224,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "score", "n_words", "best", "passages"]).astype({"doc_id": batch["doc_id"].dtype})
 
     schema = "doc_id long, score double, n_words long, best double, passages array<struct<start:int,end:int,score:double>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -223,15 +233,16 @@ def clean_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     b0, b1, b2 = model.curve
 
     @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = Memo(model.word_score)
-        out = []
-        for t in text:
-            best, excess = evidence(*segments_of(t, model, memo), model)
-            out.append(float(sigmoid(np.array(b0 + b1 * best + b2 * excess))))
-        return pd.Series(out, dtype=float)
+        for text in batches:
+            out = []
+            for t in text:
+                best, excess = evidence(*segments_of(t, model, memo), model)
+                out.append(float(sigmoid(np.array(b0 + b1 * best + b2 * excess))))
+            yield pd.Series(out, dtype=float)
 
-    return docs.where(of(F.col("text")) < 0.5)
+    return small_batches(docs).where(of(F.col("text")) < 0.5)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
