@@ -73,12 +73,16 @@ def _k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> tu
     return centres, near
 
 
-def fit_tree(x: np.ndarray, branching: int = 16, leaf_rows: int = 64, rounds: int = 8, seed: int = 11) -> Tree:
-    """A tree over unit vectors; a node of at most ``leaf_rows``, or one that can't be parted, is a leaf."""
+def fit_tree(x: np.ndarray, branching: int = 16, leaf_rows: int = 128, rounds: int = 8, seed: int = 11) -> Tree:
+    """A tree over unit vectors; a node of at most ``leaf_rows``, or one that can't be parted, is a leaf.
+
+    A node has as many children as it takes to fill leaves, ``branching`` at most, so the number of leaves follows the sample's size.
+    """
     tree, rng, todo, nodes = Tree(x.shape[1]), np.random.default_rng(seed), [(0, x)], 1
     while todo:
         node, own = todo.pop()
-        centres, near = _k_means(own, branching, rounds, rng) if len(own) > leaf_rows else (np.zeros((1, x.shape[1])), np.zeros(len(own), dtype=int))
+        parts = min(branching, -(-len(own) // leaf_rows))
+        centres, near = _k_means(own, parts, rounds, rng) if len(own) > leaf_rows else (np.zeros((1, x.shape[1])), np.zeros(len(own), dtype=int))
         parts = np.unique(near)
         if len(parts) < 2:
             tree.leaf[node] = len(tree.leaf)
