@@ -1,9 +1,11 @@
 """Toxic passages by maximum-scoring segment search, calibrated by extreme values.
 
 Tokens are lower-cased words; a word's features are itself and its character n-grams (4 to 6, with marks at its ends),
-so inflected forms share evidence. A feature's weight is its log-odds between toxic and clean labelled documents under
-a Dirichlet prior whose shape is the feature's frequency over the whole corpus. A word scores its heaviest feature of
-the lexicon, any other word a small loss, and one linear scan finds all maximal scoring segments of a document.
+so inflected forms share evidence. A run of more than 24 word characters (text without spaces, glued words) is cut into
+tokens of 16 n-gram starts each, which cover it to its end; each n-gram lies in one of them. A feature's weight is its log-odds between toxic and clean labelled documents under
+a Dirichlet prior whose shape is the feature's frequency over the whole corpus; the lexicon is every feature of enough
+support and log-odds, however many. A token scores its heaviest feature of
+the lexicon, any other token a small loss, and one linear scan finds all maximal scoring segments of a document.
 The best segment's score is brought to Karlin-Altschul form, ``lambda * S - ln(K * n)``, with ``lambda`` from the
 background score distribution and ``K`` from clean labelled documents; a logistic curve over it and the summed excess
 of all significant segments gives the score.
@@ -33,14 +35,30 @@ from lattica.llm.common import fit_logistic, held_out, sigmoid, small_batches, t
 from lattica.session import cut, table
 
 WORD = re.compile(r"\w+")
+LONG, STEP = 24, 16
 MEMO = 200_000
 HELD = 200_000
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """Lower-cased words; runs of more than ``LONG`` characters as pieces led by a space, which overlap by what an n-gram that starts in one needs."""
+    words = WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    out: list[str] = []
+    for w in words:
+        if len(w) <= LONG:
+            out.append(w)
+        else:
+            x = f"^{w}$"
+            out += [" " + x[a : a + STEP + 5] for a in range(0, len(x) - 3, STEP)]
+    return out
+
+
 def word_features(word: str) -> list[str]:
-    """The word itself, led by ``=``, and its marked character n-grams of 4 to 6."""
-    x = f"^{word[:64]}$"
-    return ["=" + word[:64], *{x[i : i + n] for n in (4, 5, 6) for i in range(len(x) - n + 1)}]
+    """The token itself, led by ``=``, and its character n-grams of 4 to 6, with marks at a word's ends; a piece has those that start in its first ``STEP``."""
+    x, starts = (word[1:], STEP) if word.startswith(" ") else (f"^{word}$", LONG)
+    return ["=" + word, *{x[i : i + n] for n in (4, 5, 6) for i in range(min(starts, len(x) - n + 1))}]
 
 
 class Memo(dict):
@@ -96,9 +114,9 @@ def maximal_segments(scores: np.ndarray, loss: float) -> list[tuple[int, int, fl
 
 
 def segments_of(text: str | None, model: ToxicityModel, memo: Memo) -> tuple[int, list[tuple[int, int, float]]]:
-    """Number of words and the maximal scoring segments in words."""
-    words = WORD.findall((text or "").lower())
-    scores = np.fromiter((memo[w] for w in words), dtype=float, count=len(words))
+    """Number of tokens and the maximal scoring segments in tokens."""
+    words = tokens_of(text)
+    scores = np.fromiter(map(memo.__getitem__, words), dtype=float, count=len(words))
     return len(words), maximal_segments(scores, model.loss)
 
 
@@ -127,9 +145,9 @@ def _feature_counts(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
 
         for batch in batches:
             for y, text in zip(batch["y"].tolist(), batch["text"]):
-                words = set(WORD.findall((text or "").lower()))
+                words = set(tokens_of(text))
                 total[y] += len(words)
-                counts.setdefault(y, Counter()).update({f for w in words for f in memo[w]})
+                counts.setdefault(y, Counter()).update(set().union(*map(memo.__getitem__, words)))
             if sum(map(len, counts.values())) > HELD:
                 yield from flush()
         yield from flush()
@@ -137,23 +155,27 @@ def _feature_counts(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
     return small_batches(docs).select("text", "y").mapInPandas(run, "feature string, y int, n long").groupBy("feature", "y").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, lexicon_size: int = 4_000, min_toxic: int = 5, prior: float = 2_000.0, min_log_odds: float = 4.0) -> ToxicityModel:
-    """Learn lexicon, calibration and extreme-value terms. What comes to the driver is bounded by ``max_rows`` and ``lexicon_size``."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_toxic: int = 5, prior: float = 2_000.0, min_log_odds: float = 4.0) -> ToxicityModel:
+    """Learn lexicon, calibration and extreme-value terms. What comes to the driver are the markedly toxic features of at most ``max_rows`` documents."""
     sample = training_sample(labels, "toxic", max_rows)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
     rows = cut(rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(3))).dropDuplicates(["doc_id"]))
     first = rows.where("part > 0").dropDuplicates(["text"])
-    toxic = _feature_counts(first.where("y = 1"), None)
-    enough = toxic.where((F.col("n") >= min_toxic) & (F.col("feature") != "")).orderBy(F.desc("n"), "feature").limit(25 * lexicon_size).toPandas()
+    n = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    counts = cut(_feature_counts(first, None).groupBy("feature").agg(n(1).alias("k"), n(0).alias("m")).where((F.col("k") >= min_toxic) | (F.col("feature") == "")))
     model = ToxicityModel()
-    if enough.empty:
+    totals = counts.where("feature = ''").first()
+    if totals is None:
         return model
-    wanted = set(enough["feature"])
-    counts = _feature_counts(first, wanted).toPandas()
-    by = {(f, y): n for f, y, n in counts.itertuples(index=False)}
-    n_t, n_c = by.get(("", 1), 1), by.get(("", 0), 1)
+    n_t, n_c = max(1, totals["k"]), max(1, totals["m"])
     prior = min(prior, 0.01 * (n_t + n_c))
-    ranked = sorted((f for f in wanted if _log_odds(by, f, n_t, n_c, prior, None) >= min_log_odds - 1), key=lambda f: (-by[f, 1], f))[:lexicon_size]
+    k, m, a = F.col("k"), F.col("m"), F.greatest(prior * (F.col("k") + F.col("m")) / (n_t + n_c), F.lit(0.01))
+    odds = F.log((k + a) / (n_t + prior - k - a)) - F.log((m + a) / (n_c + prior - m - a))
+    found = counts.where((F.col("feature") != "") & (odds >= min_log_odds - 1)).toPandas()
+    if found.empty:
+        return model
+    by = {key: n for f, k, m in found.itertuples(index=False) for key, n in (((f, 1), k), ((f, 0), m))}
+    ranked = sorted(found["feature"])
     everywhere = _feature_counts(docs.select("text", F.lit(0).alias("y")), set(ranked)).toPandas()
     corpus = dict(zip(everywhere["feature"], everywhere["n"]))
     total = max(1, corpus.pop("", 1))
