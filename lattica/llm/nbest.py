@@ -8,7 +8,8 @@ its second best; a text's N best paths can deviate in the N - 1 factors of least
 those, and their alternatives are merged best first into the N best of the text.
 
 The model's scores are summed as they are; a character outside the vocabulary costs the least score less 10 and is
-written as its bytes. Paths of one score come in the order of their ids.
+written as its bytes. Paths of one score come in the order of their ids within a factor; of different factors, the one
+whose deviation lies later comes first.
 
 Defined results: a null text is an empty one, which has one path of no piece and score 0; a null doc_id keeps its row;
 repeated rows are encoded one by one; extra columns are ignored. Decoding gives the text back, except that a space mark
@@ -132,10 +133,10 @@ class PieceModel:
                 heapq.heappush(heap, (-(fwd[start] + s + tail), self.ids_of(factor, start, at) + ids, start, s + tail))
         return sorted(out, key=lambda p: (-p[0], p[1]))[:n]
 
-    def encode(self, text: str, n: int) -> tuple[bytes, list[tuple[float, dict[int, tuple[int, ...]]]], list[str]]:
-        """Ids of the best path; the ``n`` best as (score, {factor number: its ids where they differ from the best}); the factors."""
+    def encode(self, text: str, n: int) -> tuple[bytes, list[tuple[float, dict[int, tuple[int, ...]]]], list[bytes]]:
+        """Ids of the best path; the ``n`` best as (score, {factor number: its ids where they differ from the best}); the full ids of each."""
         if not text:
-            return b"", [(0.0, {})], []
+            return b"", [(0.0, {})], [b""]
         factors = FACTOR.findall(MARK + text.replace(" ", MARK))
         memo = self.best_memo
         found = []
@@ -172,7 +173,19 @@ class PieceModel:
                     if nxt not in seen:
                         seen.add(nxt)
                         heapq.heappush(heap, (cost + own[c][0] - own[c + 1][0], nxt))
-        return b"".join([b[2] for b in found]), best, factors
+        parts = [b[2] for b in found]
+        for i, own in lists.items():  # where the best is tied, the list's first
+            parts[i] = np.array(own[0][1], dtype="<u4").tobytes()
+        ids = b"".join(parts)
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))]) if order else []
+        full = []
+        for _, changed in best:
+            pieces, end = [], 0
+            for i, own in changed.items():
+                pieces += [ids[end : at[i]], np.array(own, dtype="<u4").tobytes()]
+                end = at[i + 1]
+            full.append(b"".join([*pieces, ids[end:]]) if changed else ids)
+        return ids, best, full
 
     @staticmethod
     def _least(loss: np.ndarray, n: int) -> np.ndarray:
@@ -196,7 +209,7 @@ def piece_model(path: str) -> PieceModel:
 
 
 def encode_n_best(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
-    """One row a document: the best ids, the scores of the ``n`` best, how many pieces each changes, and whether decoding gives the text."""
+    """One row a document: the best ids, the ``n`` best paths as (score, ids), how many factors each changes, and whether decoding each gives the text."""
     path = path or model_path()
 
     def run(batches):
@@ -204,14 +217,16 @@ def encode_n_best(docs: DataFrame, path: str | None = None, n: int = N_BEST) ->
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                ids, best, _ = model.encode(text or "", n)
-                back = model.decode(ids) == (text or "").replace(MARK, " ")
-                rows.append((ids, len(ids) // 4, zlib.crc32(ids), [s for s, _ in best], [len(c) for _, c in best], back))
-            out = pd.DataFrame(rows, columns=["ids", "n_pieces", "ids_crc32", "scores", "changed", "round_trip"])
+                ids, best, full = model.encode(text or "", n)
+                plain = (text or "").replace(MARK, " ")
+                back = all(model.decode(f) == plain for f in full)
+                paths = [{"score": s, "ids": f, "crc32": zlib.crc32(f)} for (s, _), f in zip(best, full)]
+                rows.append((ids, len(ids) // 4, zlib.crc32(ids), [s for s, _ in best], [len(c) for _, c in best], paths, back))
+            out = pd.DataFrame(rows, columns=["ids", "n_pieces", "ids_crc32", "scores", "changed", "paths", "round_trip"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    schema = "doc_id long, ids binary, n_pieces long, ids_crc32 long, scores array<double>, changed array<int>, round_trip boolean"
+    schema = "doc_id long, ids binary, n_pieces long, ids_crc32 long, scores array<double>, changed array<int>, paths array<struct<score:double,ids:binary,crc32:long>>, round_trip boolean"
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
 
@@ -230,4 +245,4 @@ def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def op5_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best segmentations of every document, as digests."""
     found = encode_n_best(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_pieces", "ids_crc32", "scores", "changed", "round_trip")
+    return found.select("doc_id", "n_pieces", "ids_crc32", F.col("paths.crc32").alias("paths_crc32"), "scores", "changed", "round_trip")

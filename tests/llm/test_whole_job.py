@@ -1,8 +1,10 @@
 """Cases in which the numbered operators once did less than the whole job."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from lattica.llm import toxicity
+from lattica.llm import nbest, toxicity
 
 
 def test_op9_sees_runs_to_their_end_and_rare_words(spark):
@@ -23,3 +25,27 @@ def test_op9_sees_runs_to_their_end_and_rare_words(spark):
     for run in (clean, toxic, "x" * 25, "abcdefghijklmnopqrstuvwxyz", "é" * 24, "好" * 400):  # every n-gram of a run lies in exactly one token
         grams = [f for w in toxicity.tokens_of(run) for f in toxicity.word_features(w) if not f.startswith("=")]
         assert set(grams) == {f"^{run}$"[i : i + n] for n in (4, 5, 6) for i in range(len(run) + 3 - n)}
+
+
+def test_op5_gives_out_all_segmentations(spark):
+    model = nbest.PieceModel(nbest.model_path())
+
+    def every(s):
+        if not s:
+            yield 0.0, ()
+        for n in range(1, len(s) + 1):
+            score = model.score.get(s[:n], model.unknown if n == 1 else None)
+            if score is not None:
+                for rest, ids in every(s[n:]):
+                    yield score + rest, model.ids_of(s, 0, n) + ids
+
+    texts = ["the cat", "hé 中x", "a  b", "ing the", "aaaaaa", "ab ab ab", "", "x"]
+    found = nbest.encode_n_best(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in found.collect():
+        text = texts[r["doc_id"]]
+        known = {ids: s for s, ids in every(nbest.MARK + text.replace(" ", nbest.MARK))} if text else {(): 0.0}
+        got = [tuple(np.frombuffer(bytes(p["ids"]), "<u4").tolist()) for p in r["paths"]]
+        assert len(set(got)) == len(got) == min(4, len(known)) and r["round_trip"] and bytes(r["paths"][0]["ids"]) == bytes(r["ids"])
+        assert [known[ids] for ids in got] == pytest.approx(sorted(known.values(), reverse=True)[:4]) == [p["score"] for p in r["paths"]] == r["scores"]
+    each = found.select("doc_id", F.explode("paths").alias("p")).select("doc_id", "p.ids")
+    assert all(r["text"] == texts[r["doc_id"]] for r in nbest.decode_ids(each).collect())
