@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample of unit vectors (``sample_rows``, 20,000 by default, drawn by hash of the id);
 every row of the table is then put in the leaf that a greedy descent reaches. A query pops tree nodes from a priority
 queue by the distance of their centres and visits leaves in that order; how many is calibrated on sample queries
-against brute force, widening until ``target_recall`` of the true neighbours lie in visited leaves. Visited leaves and
+against brute force, widening until ``target_recall`` of the true neighbours lie in visited leaves. A query whose
+visited leaves hold fewer than k + 1 vec_ids goes on until they do or all leaves are visited. Visited leaves and
 queries meet by leaf; a leaf of any size is salted into parts and queries into blocks, so a group stays bounded.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a
@@ -19,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.blocks import merge_best, usable
@@ -49,13 +50,14 @@ class Tree:
             stack += [(c, rows[near == i]) for i, c in enumerate(self.children[node]) if (near == i).any()]
         return out
 
-    def best_bins(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves in the order of a best-bin-first traversal."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
+    def best_bins(self, q: np.ndarray, visits: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``visits`` leaves in the order of a best-bin-first traversal, and more until they hold ``least`` rows by ``sizes``."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or held < least):
             _, node = heapq.heappop(queue)
             if node in self.leaf:
                 out.append(self.leaf[node])
+                held += sizes.get(self.leaf[node], 0) if sizes else 0
                 continue
             far = ((self.centres[node] - q) ** 2).sum(axis=1)
             for d, c in zip(far, self.children[node]):
@@ -167,14 +169,18 @@ def nearest(
                 leaf[main] = tree.assign(_unit(batch.loc[main, "v"]))
             yield batch.assign(leaf=leaf)
 
+    placed = good.mapInPandas(leaves, "vec_id long, v array<double>, dim int, leaf long")
+    is_query = F.col("vec_id") % query_every == 0
+    first = F.min("leaf").over(Window.partitionBy("vec_id", F.col("leaf") < 0))  # over a row a leaf: a vec_id counts in one leaf only
+    by_id = placed.groupBy("vec_id", "leaf").agg(F.count(F.lit(1)).alias("n")).withColumn("own", (F.col("leaf") == first).cast("int"))
+    sizes = by_id.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum(F.when(is_query, F.col("n")).otherwise(0)).alias("q"), F.sum("own").alias("own")).collect()  # a row a leaf
+    ids_in = {r["leaf"]: r["own"] for r in sizes}
+
     def visited(batches):
         for batch in batches:
-            own = [tree.best_bins(_unit([v])[0], visits) if d == dim else [-int(d) - 1] for v, d in zip(batch["v"], batch["dim"])]
+            own = [tree.best_bins(_unit([v])[0], visits, ids_in, k + 1) if d == dim else [-int(d) - 1] for v, d in zip(batch["v"], batch["dim"])]
             yield batch.assign(leaf=own)
 
-    placed = good.mapInPandas(leaves, "vec_id long, v array<double>, dim int, leaf long")
-    is_query = F.col("vec_id") % query_every == 0
-    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()  # a row a leaf
     blocks = max(1, -(-sum(r["q"] for r in sizes) // queries_per_block))
     salts = good.sparkSession.createDataFrame([(r["leaf"], -(-r["n"] // rows_per_group)) for r in sizes], "leaf long, salts long")
     rows = placed.join(F.broadcast(salts), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), "salts").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("side"), "vec_id", "v")

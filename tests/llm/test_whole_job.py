@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import nbest, toxicity
+from lattica.llm import ann, nbest, toxicity
 
 
 def test_op9_sees_runs_to_their_end_and_rare_words(spark):
@@ -49,3 +49,17 @@ def test_op5_gives_out_all_segmentations(spark):
         assert [known[ids] for ids in got] == pytest.approx(sorted(known.values(), reverse=True)[:4]) == [p["score"] for p in r["paths"]] == r["scores"]
     each = found.select("doc_id", F.explode("paths").alias("p")).select("doc_id", "p.ids")
     assert all(r["text"] == texts[r["doc_id"]] for r in nbest.decode_ids(each).collect())
+
+
+def test_op3_gives_each_query_all_its_rows(spark, monkeypatch):
+    """Leaves of a few rows and one visit by calibration: queries go on until they hold enough vec_ids."""
+    fit = ann.fit_tree
+    monkeypatch.setattr(ann, "fit_tree", lambda x: fit(x, leaf_rows=3))
+    monkeypatch.setattr(ann, "calibrate", lambda *_: 1)
+    x = np.random.default_rng(8).normal(size=(300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(50, (x[50] + 0.001 * j).tolist()) for j in range(1, 9)]  # many vectors of one id are one candidate
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for part, want in ((df, 5), (df.where("vec_id % 100 = 0"), 2)):
+        got = ann.nearest(part, query_every=50 if want == 5 else 100).groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).collect()
+        assert {r["query_id"]: r["n"] for r in got} == {q: want for q in range(0, 300, 50 if want == 5 else 100)}
