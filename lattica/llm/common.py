@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FOLDS = 5
-BATCH_ROWS = 500
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -58,29 +60,77 @@ def stream_groups(batches: Iterator[pd.DataFrame], keys: list[str], fn: Callable
 
 def map_sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """One shuffle on ``keys``, then ``fn`` on each group. The caller bounds the size of a group."""
-    return small_batches(df).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda it: stream_groups(it, keys, fn), schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda it: stream_groups(it, keys, fn), schema)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df`` itself; its session from now on hands Python at most ``BATCH_ROWS`` rows at once, as one text may be very long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df
+def map_texts(docs: DataFrame, keep: list[str], make: Callable[[], Callable[[list[str | None]], list[pa.Array]]], schema: str, chars: int = 1 << 20) -> DataFrame:
+    """The columns ``keep`` as they are, then those that ``make()`` derives from the texts; one row a row.
+
+    Rows come and go as Arrow columns, so a 64-bit id beside a null stays what it is. A batch is worked on in runs of
+    whole texts of about ``chars`` characters, so that what is derived stays small however long the texts are.
+    """
+    names = [f.name for f in _schema(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for start, stop in portions(pc.binary_length(batch.column("text")).to_pylist(), chars):
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *work(part.column("text").to_pylist())], names=names)
+
+    return docs.select(*[F.col(k).cast(t.dataType) for k, t in zip(keep, _schema(schema))], F.col("text").alias("text")).mapInArrow(run, schema)
+
 
+def _schema(ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)
 
-def portions(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of whole texts of about ``chars`` characters together, so that what is derived from a batch stays small."""
+
+def portions(lengths: list[int | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of whole texts, given their ``lengths``, of about ``chars`` together."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        own = len(t) if t else 0
+    for i, own in enumerate(lengths):
+        own = own or 0
         if i > start and size + own > chars:
             yield start, i
             start, size = i, 0
         size += own
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+class ByteMemo:
+    """What was worked out for strings, in two generations of at most ``limit`` bytes each: the older one goes when the newer is full."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit, 0
+        self.new: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def split(self, keys) -> tuple[dict[str, object], list[str]]:
+        """What is known of ``keys``, and the keys that are not."""
+        new, old = self.new, self.old
+        known = {k: new[k] for k in keys if k in new}
+        if len(known) == len(keys):
+            return known, []
+        rest = [k for k in keys if k not in known]
+        again = {k: old[k] for k in rest if k in old}
+        self.keep(again)
+        known |= again
+        return known, [k for k in rest if k not in again]
+
+    def keep(self, found: dict[str, object], own_bytes: int = 0) -> None:
+        """Remember ``found``, whose values take ``own_bytes`` beside 250 for each entry and the keys' letters."""
+        size = own_bytes + 250 * len(found) + 2 * sum(map(len, found))
+        if size > self.limit:
+            return
+        if self.size + size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
+        self.new |= found
+        self.size += size
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    return df
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
