@@ -5,7 +5,7 @@ accented letters, distinct and repeated words, whether the line came before) and
 chain's forward-backward marginals, weighted by line length, add up to the document's quality, which a logistic curve
 turns into a probability.
 
-Fitted on at most ``max_rows`` labelled rows outside the held-out fold (documented bound: 6,000), each line carrying its
+Fitted on at most ``max_rows`` labelled rows outside the held-out fold (documented bounds: 6,000, and 400,000 lines), each line carrying its
 document's label; two thirds fit the field, the rest the curve. Every document is scored whole.
 
 Defined results: a null or empty text is one empty line; a null doc_id is scored and counts as held out; repeated rows
@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fit_logistic, held_out, portions, sigmoid, small_batches, training_sample
+from lattica.llm.common import fit_logistic, held_out, map_texts, portions, sigmoid, training_sample
 from lattica.session import cut, table
 
 PREDICT_AT = 0.3
@@ -95,8 +96,8 @@ class LineField:
     curve: np.ndarray
 
 
-def marginals(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of every line by forward-backward over all chains at once, and the expected transitions, summed."""
+def marginals(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of every line by forward-backward over all chains at once, and the expected transitions into lines, summed by the lines' ``weight``."""
     n = len(emission)
     start = np.concatenate([[0], np.cumsum(counts)[:-1]])
     order = np.argsort(-counts, kind="stable")
@@ -123,7 +124,8 @@ def marginals(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray)
     at = np.flatnonzero(inner)
     pair = fwd[at - 1][:, :, None] + transition[None] + (e + bwd)[at][:, None, :]
     pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True)) if len(at) else np.zeros((0, 2, 2))
-    return good, (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if len(at) else np.zeros((2, 2))
+    share = np.ones(len(at)) if weight is None else weight[at]
+    return good, (pair * (share / pair.sum(axis=(1, 2)))[:, None, None]).sum(axis=0) if len(at) else np.zeros((2, 2))
 
 
 def fit_field(x: np.ndarray, counts: np.ndarray, y: np.ndarray, l2: float = 2e-3, steps: int = 250) -> LineField:
@@ -133,15 +135,13 @@ def fit_field(x: np.ndarray, counts: np.ndarray, y: np.ndarray, l2: float = 2e-3
     by_doc = np.where(y == 1, 1 / share, 1 / (1 - share)) ** 0.5 / counts
     weight = np.repeat(by_doc, counts)
     weight = weight / max(weight.sum(), 1e-9)
-    start = np.concatenate([[0], np.cumsum(counts)[:-1]])
     same = np.array([(by_doc * (counts - 1))[y == 0].sum(), (by_doc * (counts - 1))[y == 1].sum()]) / max((by_doc * counts).sum(), 1e-9)
     w, tr = np.zeros(x.shape[1]), np.eye(2) * 0.5
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, steps + 1):
-        good, pairs = marginals(x @ w, counts, tr)
+        good, pairs = marginals(x @ w, counts, tr, weight)
         grad_w = x.T @ (weight * (good - label)) + l2 * w
-        expected = pairs / max(len(x) - len(start), 1) * same.sum()
-        grad_t = expected - np.diag(same) + 0.05 * tr
+        grad_t = pairs - np.diag(same) + 0.05 * tr
         g = np.concatenate([grad_w, grad_t.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -152,7 +152,7 @@ def fit_field(x: np.ndarray, counts: np.ndarray, y: np.ndarray, l2: float = 2e-3
 
 def document_quality(texts: list[str | None], field: LineField) -> np.ndarray:
     """Length-weighted mean of the lines' marginals and the weighted share of lines that are clearly bad, by document."""
-    return np.concatenate([_portion_quality(texts[a:b], field) for a, b in portions(texts)]) if len(texts) else np.zeros((0, 2))
+    return np.concatenate([_portion_quality(texts[a:b], field) for a, b in portions([len(t) if t else 0 for t in texts])]) if len(texts) else np.zeros((0, 2))
 
 
 def _portion_quality(texts: list[str | None], field: LineField) -> np.ndarray:
@@ -166,22 +166,30 @@ def _portion_quality(texts: list[str | None], field: LineField) -> np.ndarray:
     return np.column_stack([mean, clear])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> LineField:
-    """The field and its curve from a bounded sample; only line features and marginals come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_lines: int = 400_000) -> LineField:
+    """The field and its curve from a bounded sample; only line features and marginals come to the driver.
+
+    The sample is at most ``max_rows`` labelled rows, and, in the order of a hash of their ids, so many of them as have
+    ``max_lines`` lines together. Of several texts under one doc_id the smallest is learnt from.
+    """
     sample = training_sample(labels, "quality", max_rows)
-    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    rows = cut(rows.select("text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("part")))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = rows.select("text", "y", F.xxhash64("doc_id").alias("h"), (F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]", "")) + 1).alias("n"))
+    rows = cut(rows.withColumn("part", F.pmod("h", F.lit(3))))
     width = len(line_features([""])[0][0])
+    known = rows.where("part > 0").select("h", "n").toPandas().sort_values("h")
+    within = known[known["n"].cumsum() <= max(max_lines, known["n"].iloc[0] if len(known) else 0)]
+    last = int(within["h"].max()) if len(within) else 0
 
     def features(batches):
         for batch in batches:
             texts, y = batch["text"].tolist(), batch["y"].to_numpy()
-            for start, stop in portions(texts):
+            for start, stop in portions([len(t) if t else 0 for t in texts]):
                 x, _, counts = line_features(texts[start:stop])
                 at = np.concatenate([[0], np.cumsum(counts)])
                 yield pd.DataFrame({"y": y[start:stop], "n": counts, "x": [x[a:b].astype("<f4").tobytes() for a, b in zip(at, at[1:])]})
 
-    found = rows.where("part > 0").mapInPandas(features, "y int, n long, x binary").toPandas()
+    found = rows.where((F.col("part") > 0) & (F.col("h") <= last)).orderBy("h").select("text", "y").mapInPandas(features, "y int, n long, x binary").toPandas()
     if found.empty or found["y"].nunique() < 2:
         return LineField(np.zeros(width), np.zeros((2, 2)), np.zeros(3))
     x = np.concatenate([np.frombuffer(b, dtype="<f4").reshape(-1, width) for b in found["x"]])
@@ -205,12 +213,11 @@ def _probability(texts: list[str | None], field: LineField) -> tuple[np.ndarray,
 def score(docs: DataFrame, field: LineField) -> DataFrame:
     """``(doc_id, score, line_quality)`` for every row."""
 
-    def run(batches):
-        for batch in batches:
-            p, q = _probability(batch["text"].tolist(), field) if len(batch) else ([], [])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": p, "line_quality": q})
+    def work(texts):
+        p, q = _probability(texts, field)
+        return [pa.array(p), pa.array(q)]
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double, line_quality double")
+    return map_texts(docs, ["doc_id"], lambda: work, "doc_id long, score double, line_quality double")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -221,7 +228,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     def of(text: pd.Series) -> pd.Series:
         return pd.Series(_probability(text.tolist(), field)[0] if len(text) else [], dtype=float)
 
-    return small_batches(docs).where(of(F.col("text")) >= PREDICT_AT)
+    return docs.where(of(F.col("text")) >= PREDICT_AT)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
