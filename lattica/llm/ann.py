@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
-The tree is fitted on a bounded sample of unit vectors (``sample_rows``, 20,000 by default, drawn by hash of the id);
-every row of the table is then put in the leaf that a greedy descent reaches. A query pops tree nodes from a priority
+The tree is fitted on a bounded sample of unit vectors, drawn by hash of the id: ``sample_rows``, 20,000 by default, or
+16 times the root of the table's rows where that is more, up to ``most_sample_rows``, 200,000. It has about as many leaves
+as the root of the rows, so leaves are many where the table is large. Every row of the table is then put in the leaf that a greedy descent reaches. A query pops tree nodes from a priority
 queue by the distance of their centres and visits leaves in that order; how many is calibrated on sample queries
 against brute force, widening until ``target_recall`` of the true neighbours lie in visited leaves. A query whose
 visited leaves hold fewer than k + 1 vec_ids goes on until they do or all leaves are visited. Visited leaves and
-queries meet by leaf; a leaf of any size is salted into parts and queries into blocks, so a group stays bounded.
+queries meet by leaf: a row goes to its own leaf only, once for every ``queries_per_cell`` queries that visit it, a leaf of
+any size is salted into parts, and queries stream past the part that is held.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a
 null vec_id; vectors of another length than most are searched among their own kind in full; identical rows count once,
@@ -16,6 +18,7 @@ are ignored; ties go to the smaller vec_id.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.blocks import merge_best, usable
-from lattica.llm.common import map_sorted_groups
-from lattica.session import table
+from lattica.llm.blocks import meet, merge_best, usable
+from lattica.session import cut, table
+
+PAIRS = "query_id long, vec_id long, score double"
 
 
 @dataclass
@@ -146,19 +150,21 @@ def _slices(who, near, rows: int = 65_536):
 
 
 def nearest(
-    vectors: DataFrame, query_every: int = 50, k: int = 5, target_recall: float = 0.98, sample_rows: int = 20_000, rows_per_group: int = 20_000, queries_per_block: int = 512
-) -> DataFrame:
+    vectors: DataFrame, query_every: int = 50, k: int = 5, target_recall: float = 0.98, sample_rows: int = 20_000, most_sample_rows: int = 200_000,
+    rows_per_group: int = 20_000, queries_per_cell: int = 20_000,
+) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` by cosine for queries whose vec_id ``query_every`` divides."""
     some = F.exists("embedding", lambda x: x != 0)
     good = vectors.select(F.col("vec_id").cast("long"), "embedding").where(F.col("vec_id").isNotNull() & usable() & some)
     good = good.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.size("embedding").alias("dim")).distinct()
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
-    schema = "query_id long, vec_id long, score double"
+    root = math.isqrt(good.count())
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(most_sample_rows, max(sample_rows, 16 * root))).toPandas()
     if sample.empty:
-        return merge_best(good.sparkSession.createDataFrame([], schema), k)
+        return merge_best(good.sparkSession.createDataFrame([], PAIRS), k)
     dim = int(sample["dim"].mode().iloc[0])
     x = _unit(sample.loc[sample["dim"] == dim, "v"])
-    tree = fit_tree(x[: max(1, int(0.8 * len(x)))])
+    seen = x[: max(1, int(0.8 * len(x)))]
+    tree = fit_tree(seen, leaf_rows=max(16, min(128, len(seen) // max(1, root))))
     visits = calibrate(tree, x, k, target_recall)
 
     def leaves(batches):
@@ -170,10 +176,9 @@ def nearest(
             yield batch.assign(leaf=leaf)
 
     placed = good.mapInPandas(leaves, "vec_id long, v array<double>, dim int, leaf long")
-    is_query = F.col("vec_id") % query_every == 0
     first = F.min("leaf").over(Window.partitionBy("vec_id", F.col("leaf") < 0))  # over a row a leaf: a vec_id counts in one leaf only
     by_id = placed.groupBy("vec_id", "leaf").agg(F.count(F.lit(1)).alias("n")).withColumn("own", (F.col("leaf") == first).cast("int"))
-    sizes = by_id.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum(F.when(is_query, F.col("n")).otherwise(0)).alias("q"), F.sum("own").alias("own")).collect()  # a row a leaf
+    sizes = by_id.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).collect()  # a row a leaf
     ids_in = {r["leaf"]: r["own"] for r in sizes}
 
     def visited(batches):
@@ -181,22 +186,16 @@ def nearest(
             own = [tree.best_bins(_unit([v])[0], visits, ids_in, k + 1) if d == dim else [-int(d) - 1] for v, d in zip(batch["v"], batch["dim"])]
             yield batch.assign(leaf=own)
 
-    blocks = max(1, -(-sum(r["q"] for r in sizes) // queries_per_block))
-    salts = good.sparkSession.createDataFrame([(r["leaf"], -(-r["n"] // rows_per_group)) for r in sizes], "leaf long, salts long")
-    rows = placed.join(F.broadcast(salts), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), "salts").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("side"), "vec_id", "v")
-    queries = good.where(is_query).mapInPandas(visited, "vec_id long, v array<double>, dim int, leaf array<long>").withColumn("leaf", F.explode("leaf"))
-    queries = queries.join(F.broadcast(salts), "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    queries = queries.select("leaf", "salt", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"), F.lit(1).alias("side"), "vec_id", "v")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        side = group["side"].to_numpy()
-        left, right = group[side == 1], group[side == 0]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": float})
-        matrix = lambda part: np.stack([np.asarray(v, dtype=np.float64) for v in part["v"]])
-        return _best(left["vec_id"].to_numpy(), matrix(left), right["vec_id"].to_numpy(), matrix(right), k)
-
-    found = map_sorted_groups(rows.union(queries), ["leaf", "salt", "b"], run, schema)
+    asked = good.where(F.col("vec_id") % query_every == 0).mapInPandas(visited, "vec_id long, v array<double>, dim int, leaf array<long>")
+    asked = cut(asked.withColumn("leaf", F.explode("leaf")))
+    visitors = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}  # a row a leaf
+    cells = [(r["leaf"], -(-r["n"] // rows_per_group), -(-visitors.get(r["leaf"], 0) // queries_per_cell)) for r in sizes]
+    cells = F.broadcast(good.sparkSession.createDataFrame(cells, "leaf long, salts long, blocks long"))
+    none = F.lit(None).cast("double").alias("floor")
+    rows = placed.join(cells.where("blocks > 0"), "leaf")  # leaves that no query visits stay where they are
+    rows = rows.select("leaf", F.pmod(F.xxhash64("vec_id"), "salts").alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), "vec_id", "v", none)
+    queries = asked.join(cells, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("vec_id"), "blocks").alias("b"), "vec_id", "v", none)
+    found = meet(rows, queries, ["leaf", "salt", "b"], lambda ids, x, query_ids, q, _: _best(query_ids, q, ids, x, k), PAIRS)
     return merge_best(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
 

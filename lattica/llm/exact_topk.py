@@ -3,8 +3,11 @@
 Vectors are cut into segments; the mean and deviation of each bound the inner product of two vectors from above,
 ``sum of m * (mean * mean + dev * dev)`` over segments of m components (the same statistics give the lower-bound
 distance ``sum of m * ((mean - mean)^2 + (dev - dev)^2)``, and ``2xy = |x|^2 + |y|^2 - distance``). Bounds are taken
-with 4 segments, then 8, then 16; what may still reach the k-th best score found in the block is scored exactly in
-integers, so the result is exact. Every data group meets every query block in a group of bounded size.
+with 4 segments for all pairs, with 8 for those that are left, with 16 for those left then; what may still reach the
+k-th best score is scored exactly in integers, so the result is exact.
+
+A first group of rows gives every query a floor, its k-th best score there, with which it goes to the other groups. A
+group of rows is held by a task and queries stream past it.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null
 vec_id; vectors of another length than the query's are no candidates; a repeated row is one candidate, and with
@@ -19,9 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.blocks import merge_best, usable
-from lattica.llm.common import map_sorted_groups
-from lattica.session import table
+from lattica.llm.blocks import meet, merge_best, usable
+from lattica.session import cut, table
 
 LEVELS = (4, 8, 16)
 SCALE = 1024
@@ -38,68 +40,120 @@ def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.nda
     return size, mean, np.sqrt(np.maximum(square - mean**2, 0))
 
 
-def upper_bounds(q: np.ndarray, x: np.ndarray, segments: int) -> np.ndarray:
+def slack(bound: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``bound`` and what rounding may have taken from it; ``sizes`` are products of the vectors' lengths."""
+    return bound + 1e-6 * (1 + np.abs(bound)) + 1e-9 * sizes
+
+
+class Levels:
+    """Segment statistics of a group of vectors at every level, coarse to fine, each a row of weighted means and deviations."""
+
+    def __init__(self, x: np.ndarray):
+        self.length = np.sqrt((x * x).sum(axis=1))
+        self.rows = []
+        for segments in LEVELS:
+            size, mean, deviation = segment_statistics(x, segments)
+            self.rows.append(np.concatenate([mean * np.sqrt(size), deviation * np.sqrt(size)], axis=1))
+
+    def all_pairs(self, other: Levels) -> np.ndarray:
+        """Bounds of the coarsest level for every pair of a row here and a row there."""
+        return slack(self.rows[0] @ other.rows[0].T, self.length[:, None] * other.length[None, :])
+
+    def pairs(self, level: int, other: Levels, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bounds of one level for the given pairs only."""
+        own, their = self.rows[level], other.rows[level]
+        bound = np.concatenate([np.einsum("pd,pd->p", own[a], their[b]) for a, b in _slices(i, j)]) if len(i) else np.zeros(0)
+        return slack(bound, self.length[i] * other.length[j])
+
+
+def _slices(i: np.ndarray, j: np.ndarray, rows: int = 65_536):
+    return [(i[a : a + rows], j[a : a + rows]) for a in range(0, len(i), rows)]
+
+
+def upper_bounds(q: np.ndarray, x: np.ndarray, level: int) -> np.ndarray:
     """For every query and row a number that their inner product can't exceed, rounding included."""
-    size, qm, qd = segment_statistics(q, segments)
-    _, xm, xd = segment_statistics(x, segments)
-    bound = (qm * size) @ xm.T + (qd * size) @ xd.T
-    return bound + 1e-6 * (1 + np.abs(bound)) + 1e-9 * np.sqrt((q**2).sum(axis=1))[:, None] * np.sqrt((x**2).sum(axis=1))[None, :]
+    a, b = Levels(q), Levels(x)
+    i, j = np.divmod(np.arange(len(q) * len(x)), max(len(x), 1))
+    return a.pairs(level, b, i, j).reshape(len(q), len(x))
 
 
-def block_top_k(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """Exact best ``k`` of the block for each query."""
+def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int, levels: Levels | None = None, counts: dict | None = None) -> pd.DataFrame:
+    """Exact best ``k`` of the block for each query, but for those under the query's floor; ``counts`` takes how many pairs each level saw.
+
+    Every level looks only at the pairs that the one before has left.
+    """
     qf, xf = q.astype(float), x.astype(float)
     exact = np.abs(qf).max(initial=0) * np.abs(xf).max(initial=0) * max(q.shape[1], 1) < 2**53
-    bound = upper_bounds(qf, xf, LEVELS[0])
+    of_q, of_x = Levels(qf), levels or Levels(xf)
+    bound = of_q.all_pairs(of_x)
     own = query_ids[:, None] == ids[None, :]
     bound[own] = -np.inf
-    floor = np.full(len(q), -np.inf)
+    floor = np.nan_to_num(floors.astype(float), nan=-np.inf)
     single = len(np.unique(ids)) == len(ids)
+
+    def raised(i, j, bound):
+        """Floors after the exact scores of each query's ``k`` pairs of highest bound."""
+        order = np.lexsort((-bound, i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        worst = np.full(len(q), np.inf)
+        np.minimum.at(worst, i, np.einsum("pd,pd->p", qf[i], xf[j]))
+        full = np.bincount(i, minlength=len(q)) == k
+        worst = np.where(full, worst - 1e-6 * (1 + np.abs(np.where(full, worst, 0))), -np.inf)
+        return np.maximum(floor, worst)
+
     if len(x) > k and single:
         start = np.argpartition(-bound, k - 1, axis=1)[:, :k]
-        seen = np.einsum("qkd,qd->qk", xf[start], qf)
-        seen[np.take_along_axis(own, start, axis=1)] = -np.inf
-        floor = seen.min(axis=1)
-        floor -= 1e-6 * (1 + np.abs(floor))
-    alive = bound >= floor[:, None]
-    for segments in LEVELS[1:]:
-        if not alive.any():
-            break
-        alive &= upper_bounds(qf, xf, segments) >= floor[:, None]
-    out = []
-    for i in range(len(q)):
-        near = np.flatnonzero(alive[i] & ~own[i])
-        score = np.rint(xf[near] @ qf[i]).astype(np.int64) if exact else x[near] @ q[i]
-        top = np.lexsort((ids[near], -score))
-        if not single:
-            top = top[np.sort(np.unique(ids[near][top], return_index=True)[1])]
-        top = top[:k]
-        out.append(pd.DataFrame({"query_id": np.full(len(top), query_ids[i]), "vec_id": ids[near][top], "score": score[top]}))
-    return pd.concat(out, ignore_index=True)
-
-
-def exact_top_k(vectors: DataFrame, query_every: int = 100, k: int = 10, rows_per_group: int = 20_000, queries_per_block: int = 512) -> DataFrame:
+        rows = np.repeat(np.arange(len(q)), k)
+        real = ~own[rows, start.ravel()]
+        floor = raised(rows[real], start.ravel()[real], bound[rows, start.ravel()][real])
+    i, j = np.nonzero((bound >= floor[:, None]) & ~own)
+    tally = [bound.size, len(i)]
+    for level in range(1, len(LEVELS)):
+        finer = of_q.pairs(level, of_x, i, j)
+        if single:
+            floor = raised(i, j, finer)
+        left = finer >= floor[i]
+        i, j = i[left], j[left]
+        tally.append(len(i))
+    if counts is not None:
+        for name, n in zip(("pairs", *LEVELS), tally):
+            counts[name] = counts.get(name, 0) + n
+    if exact:
+        score = np.rint(np.concatenate([np.einsum("pd,pd->p", qf[a], xf[b]) for a, b in _slices(i, j)])).astype(np.int64) if len(i) else np.zeros(0, dtype=np.int64)
+    else:
+        score = np.concatenate([np.einsum("pd,pd->p", q[a], x[b]) for a, b in _slices(i, j)]) if len(i) else np.zeros(0, dtype=np.int64)
+    order = np.lexsort((ids[j], -score, i))
+    found = pd.DataFrame({"query_id": query_ids[i[order]], "vec_id": ids[j[order]], "score": score[order]})
+    if not single:
+        found = found.drop_duplicates(["query_id", "vec_id"])
+    return found[found.groupby("query_id").cumcount() < k]
+
+
+def exact_top_k(vectors: DataFrame, query_every: int = 100, k: int = 10, rows_per_group: int = 20_000, queries_per_cell: int = 100_000) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for queries whose vec_id ``query_every`` divides, against every row but their own."""
     good = vectors.select(F.col("vec_id").cast("long"), "embedding").where(F.col("vec_id").isNotNull() & usable())
     good = good.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE)).alias("v"), F.size("embedding").alias("dim")).distinct()
-    is_query = F.col("vec_id") % query_every == 0
-    counts = good.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
+    asked = good.where(F.col("vec_id") % query_every == 0)
+    counts = good.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % query_every == 0, 1)).alias("q")).first()
     groups = max(8, -(-counts["n"] // rows_per_group))
-    query_blocks = max(1, -(-counts["q"] // queries_per_block))
+    blocks = max(1, -(-counts["q"] // queries_per_cell))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    rows = good.select("dim", deal(groups).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("b"), F.lit(0).alias("side"), "vec_id", "v")
-    queries = good.where(is_query).select("dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), deal(query_blocks).alias("b"), F.lit(1).alias("side"), "vec_id", "v")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        side = group["side"].to_numpy()
-        left, right = group[side == 1], group[side == 0]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        matrix = lambda part: np.stack([np.asarray(v, dtype=np.int64) for v in part["v"]])
-        return block_top_k(left["vec_id"].to_numpy(), matrix(left), right["vec_id"].to_numpy(), matrix(right), k)
-
-    found = map_sorted_groups(rows.union(queries), ["dim", "g", "b"], run, "query_id long, vec_id long, score long")
-    return merge_best(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None).cast("long").alias("floor")
+    keys, schema = ["dim", "g", "b"], "query_id long, vec_id long, score long"
+    best = lambda ids, x, query_ids, q, floors: block_top_k(ids, x, query_ids, q, floors, k)
+    dealt = good.withColumn("g", deal(groups))
+    queries = asked.withColumn("b", deal(blocks))
+
+    # The first group of rows gives every query a floor: its k-th best score there.
+    pilot = meet(dealt.where("g = 0").select("dim", "g", every(blocks).alias("b"), "vec_id", "v", none), queries.select("dim", F.lit(0).alias("g"), "b", "vec_id", "v", none), keys, best, schema, np.int64)
+    pilot = cut(pilot.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    floors = merge_best(pilot, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    rest = queries.join(floors, "vec_id", "left").select("dim", F.explode(F.sequence(F.lit(1), F.lit(groups - 1))).alias("g"), "b", "vec_id", "v", "floor")
+    found = meet(dealt.where("g > 0").select("dim", "g", every(blocks).alias("b"), "vec_id", "v", none), rest, keys, best, schema, np.int64)
+    return merge_best(found.union(pilot).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
