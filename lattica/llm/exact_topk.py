@@ -42,7 +42,7 @@ def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.nda
 
 def slack(bound: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """``bound`` and what rounding may have taken from it; ``sizes`` are products of the vectors' lengths."""
-    return bound + 1e-6 * (1 + np.abs(bound)) + 1e-9 * sizes
+    return bound + np.where(np.isfinite(bound), 1e-6 * (1 + np.abs(bound)), 0) + 1e-9 * sizes
 
 
 class Levels:
@@ -55,15 +55,20 @@ class Levels:
             size, mean, deviation = segment_statistics(x, segments)
             self.rows.append(np.concatenate([mean * np.sqrt(size), deviation * np.sqrt(size)], axis=1))
 
-    def all_pairs(self, other: Levels) -> np.ndarray:
-        """Bounds of the coarsest level for every pair of a row here and a row there."""
-        return slack(self.rows[0] @ other.rows[0].T, self.length[:, None] * other.length[None, :])
+    def bounds(self, level: int, other: Levels, alive: np.ndarray) -> np.ndarray:
+        """Bounds of one level for the pairs that are alive, minus infinity for the others."""
+        bound = _for_alive(self.rows[level], other.rows[level], alive)
+        return slack(bound, self.length[:, None] * other.length[None, :])
 
-    def pairs(self, level: int, other: Levels, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Bounds of one level for the given pairs only."""
-        own, their = self.rows[level], other.rows[level]
-        bound = np.concatenate([np.einsum("pd,pd->p", own[a], their[b]) for a, b in _slices(i, j)]) if len(i) else np.zeros(0)
-        return slack(bound, self.length[i] * other.length[j])
+
+def _for_alive(own: np.ndarray, their: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Products of the rows of either side for the pairs that are alive: one by one if they are few, all at once if they are many."""
+    if np.count_nonzero(alive) > alive.size / 16:
+        return np.where(alive, own @ their.T, -np.inf)
+    out = np.full(alive.shape, -np.inf)
+    for i, j in _slices(*np.nonzero(alive)):
+        out[i, j] = np.einsum("pd,pd->p", own[i], their[j])
+    return out
 
 
 def _slices(i: np.ndarray, j: np.ndarray, rows: int = 65_536):
@@ -72,9 +77,7 @@ def _slices(i: np.ndarray, j: np.ndarray, rows: int = 65_536):
 
 def upper_bounds(q: np.ndarray, x: np.ndarray, level: int) -> np.ndarray:
     """For every query and row a number that their inner product can't exceed, rounding included."""
-    a, b = Levels(q), Levels(x)
-    i, j = np.divmod(np.arange(len(q) * len(x)), max(len(x), 1))
-    return a.pairs(level, b, i, j).reshape(len(q), len(x))
+    return Levels(q).bounds(level, Levels(x), np.ones((len(q), len(x)), dtype=bool))
 
 
 def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int, levels: Levels | None = None, counts: dict | None = None) -> pd.DataFrame:
@@ -85,43 +88,30 @@ def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nda
     qf, xf = q.astype(float), x.astype(float)
     exact = np.abs(qf).max(initial=0) * np.abs(xf).max(initial=0) * max(q.shape[1], 1) < 2**53
     of_q, of_x = Levels(qf), levels or Levels(xf)
-    bound = of_q.all_pairs(of_x)
-    own = query_ids[:, None] == ids[None, :]
-    bound[own] = -np.inf
+    alive = query_ids[:, None] != ids[None, :]
+    tally = [alive.size]
     floor = np.nan_to_num(floors.astype(float), nan=-np.inf)
     single = len(np.unique(ids)) == len(ids)
-
-    def raised(i, j, bound):
-        """Floors after the exact scores of each query's ``k`` pairs of highest bound."""
-        order = np.lexsort((-bound, i))
-        i, j = i[order], j[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        i, j = i[place < k], j[place < k]
-        worst = np.full(len(q), np.inf)
-        np.minimum.at(worst, i, np.einsum("pd,pd->p", qf[i], xf[j]))
-        full = np.bincount(i, minlength=len(q)) == k
-        worst = np.where(full, worst - 1e-6 * (1 + np.abs(np.where(full, worst, 0))), -np.inf)
-        return np.maximum(floor, worst)
-
-    if len(x) > k and single:
-        start = np.argpartition(-bound, k - 1, axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(q)), k)
-        real = ~own[rows, start.ravel()]
-        floor = raised(rows[real], start.ravel()[real], bound[rows, start.ravel()][real])
-    i, j = np.nonzero((bound >= floor[:, None]) & ~own)
-    tally = [bound.size, len(i)]
-    for level in range(1, len(LEVELS)):
-        finer = of_q.pairs(level, of_x, i, j)
-        if single:
-            floor = raised(i, j, finer)
-        left = finer >= floor[i]
-        i, j = i[left], j[left]
-        tally.append(len(i))
+    for level in range(len(LEVELS)):
+        bound = of_q.bounds(level, of_x, alive)
+        if len(x) > k and single:  # the exact scores of each query's k pairs of highest bound may raise its floor
+            near = np.argpartition(-bound, k - 1, axis=1)[:, :k]
+            seen = np.einsum("qkd,qd->qk", xf[near], qf)
+            seen[~np.take_along_axis(alive, near, axis=1)] = -np.inf
+            worst = seen.min(axis=1)
+            floor = np.maximum(floor, worst - 1e-6 * (1 + np.abs(np.where(np.isfinite(worst), worst, 0))))
+        alive = alive & (bound >= floor[:, None])
+        tally.append(int(alive.sum()))
     if counts is not None:
         for name, n in zip(("pairs", *LEVELS), tally):
             counts[name] = counts.get(name, 0) + n
+    i, j = np.nonzero(alive)
     if exact:
-        score = np.rint(np.concatenate([np.einsum("pd,pd->p", qf[a], xf[b]) for a, b in _slices(i, j)])).astype(np.int64) if len(i) else np.zeros(0, dtype=np.int64)
+        product = _for_alive(qf, xf, alive)
+        if len(x) > k and single:  # what is under the k-th best goes before anything is sorted
+            least = -np.partition(-product, k - 1, axis=1)[:, k - 1]
+            i, j = np.nonzero(alive & (product >= least[:, None] - 0.5))
+        score = np.rint(product[i, j]).astype(np.int64)
     else:
         score = np.concatenate([np.einsum("pd,pd->p", q[a], x[b]) for a, b in _slices(i, j)]) if len(i) else np.zeros(0, dtype=np.int64)
     order = np.lexsort((ids[j], -score, i))
@@ -148,11 +138,11 @@ def exact_top_k(vectors: DataFrame, query_every: int = 100, k: int = 10, rows_pe
     queries = asked.withColumn("b", deal(blocks))
 
     # The first group of rows gives every query a floor: its k-th best score there.
-    pilot = meet(dealt.where("g = 0").select("dim", "g", every(blocks).alias("b"), "vec_id", "v", none), queries.select("dim", F.lit(0).alias("g"), "b", "vec_id", "v", none), keys, best, schema, np.int64)
+    pilot = meet(dealt.where("g = 0").select("dim", "g", every(blocks).alias("b"), "vec_id", "v", none), queries.select("dim", F.lit(0).alias("g"), "b", "vec_id", "v", none), keys, best, schema, np.int64, 256)
     pilot = cut(pilot.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     floors = merge_best(pilot, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     rest = queries.join(floors, "vec_id", "left").select("dim", F.explode(F.sequence(F.lit(1), F.lit(groups - 1))).alias("g"), "b", "vec_id", "v", "floor")
-    found = meet(dealt.where("g > 0").select("dim", "g", every(blocks).alias("b"), "vec_id", "v", none), rest, keys, best, schema, np.int64)
+    found = meet(dealt.where("g > 0").select("dim", "g", every(blocks).alias("b"), "vec_id", "v", none), rest, keys, best, schema, np.int64, 256)
     return merge_best(found.union(pilot).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
 
