@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.special import chi_square_tail, gamma_q, normal_two_tailed, t_two_tailed
+from lattica.operators.ranking import running_sums
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -124,9 +125,8 @@ def empirical_fdr(real: DataFrame, random: DataFrame, value: str) -> DataFrame:
     """
     both = real.select(F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(random.select(F.col(value), F.lit(0), F.lit(1)))
     hist = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    at_least = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = both.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    cum = hist.select("v", F.sum("a").over(at_least).alias("ca"), F.sum("b").over(at_least).alias("cb")).crossJoin(F.broadcast(n))
+    cum = running_sums(hist, [], [F.desc("v")], ca="a", cb="b").crossJoin(F.broadcast(n))
     rate = cum.select(F.col("v").alias(value), F.least(F.lit(1.0), (F.col("cb") / F.col("nb")) / (F.col("ca") / F.col("na"))).alias("fdr"))
     return real.join(rate, value)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from lattica.operators.components import connected_components
 from lattica.session import cut
 
 
-def spanning_forest(pairs: DataFrame, max_rounds: int = 40) -> DataFrame:
+def spanning_forest(pairs: DataFrame) -> DataFrame:
     """Edges ``(src, dst, distance)`` of a minimum spanning forest by Boruvka rounds; equal distances go by the pair's ids.
 
     Sorted by distance these are the merges of single-linkage clustering.
@@ -19,7 +21,7 @@ def spanning_forest(pairs: DataFrame, max_rounds: int = 40) -> DataFrame:
     edges = cut(pairs.select("src", "dst", F.col("distance").cast("double").alias("distance")))
     chosen = None
     work = edges.select("src", "dst", "distance", F.col("src").alias("cs"), F.col("dst").alias("cd"))
-    for _ in range(max_rounds):
+    while True:  # a round at least halves the number of trees
         ends = work.select(F.explode(F.array("cs", "cd")).alias("c"), F.struct("distance", "src", "dst").alias("e"))
         picked = ends.groupBy("c").agg(F.min("e").alias("e")).select("e.src", "e.dst", "e.distance").distinct()
         picked = cut(picked)
@@ -32,18 +34,19 @@ def spanning_forest(pairs: DataFrame, max_rounds: int = 40) -> DataFrame:
     return (chosen if chosen is not None else edges.limit(0)).distinct()
 
 
-def agglomerate(pairs: DataFrame, linkage: str = "average", max_rounds: int = 200) -> DataFrame:
+def agglomerate(pairs: DataFrame, linkage: str = "average") -> DataFrame:
     """``(merged, left, right, distance, size)``: the merges of hierarchical clustering over a full list of pair distances.
 
     Clusters that are each other's nearest merge at once, which for single, complete and average linkage gives the same
-    tree as merging one pair at a time; a cluster is named by its smallest member, ties go to the smaller names.
+    tree as merging one pair at a time; a cluster is named by its smallest member, ties go to the smaller names. The list of
+    pairs grows with the square of the members: that is what the method works on.
     """
     if linkage not in ("single", "complete", "average"):
         raise ValueError(linkage)
     d = cut(pairs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("distance").cast("double").alias("d")))
     sizes = cut(d.select(F.explode(F.array("a", "b")).alias("c")).distinct().withColumn("n", F.lit(1).cast("long")))
     out = None
-    for step in range(max_rounds):
+    for step in itertools.count():  # the least pair always merges, so every round has one
         both = d.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.struct("d", F.col("a").alias("x"), F.col("b").alias("y")).alias("e")), F.struct(F.col("b").alias("c"), F.struct("d", F.col("a").alias("x"), F.col("b").alias("y")).alias("e")))).alias("z")).select("z.*")
         near = both.groupBy("c").agg(F.min("e").alias("e"))
         merge = cut(near.groupBy("e").count().where("count = 2").select("e.x", "e.y", "e.d"))
@@ -71,10 +74,11 @@ def cut_tree(merges: DataFrame, height: float) -> DataFrame:
 
 def tf_idf(tokens: DataFrame) -> DataFrame:
     """``(doc, term, weight)`` from ``(doc, term, n)``: share of the document's tokens times log10 of documents over those with the term."""
-    per_doc = tokens.groupBy("doc").agg(F.sum("n").alias("total"))
-    per_term = tokens.groupBy("term").agg(F.countDistinct("doc").alias("df"))
-    docs = tokens.agg(F.countDistinct("doc").alias("docs"))
-    t = tokens.join(per_doc, "doc").join(per_term, "term").crossJoin(F.broadcast(docs))
+    counts = cut(tokens.groupBy("doc", "term").agg(F.sum("n").alias("n")))
+    per_doc = counts.groupBy("doc").agg(F.sum("n").alias("total"))
+    per_term = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    docs = per_doc.agg(F.count(F.lit(1)).alias("docs"))
+    t = counts.join(per_doc, "doc").join(per_term.repartition(F.xxhash64("term")), "term").crossJoin(F.broadcast(docs))
     return t.select("doc", "term", (F.col("n") / F.col("total") * F.log10(F.col("docs") / F.col("df"))).alias("weight"))
 
 

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a map-side combined ``min`` per node and one equi-join, so a hub
-is never gathered in one task; a round at least halves the depth of the trees.
+Every step is a map-side combined ``min`` per node and one equi-join whose hubs
+adaptive execution splits, so none is gathered in one task; a round at least halves the depth of the trees.
 """
 
 from __future__ import annotations
@@ -17,6 +17,11 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _apart(low: DataFrame) -> DataFrame:
+    """Deal the row a node out by another key, so that the join that follows has a shuffle on either side and adaptive execution can split a hub's edges."""
+    return low.repartition(F.xxhash64("u"))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of an undirected edge list; ``component`` is the smallest node.
 
@@ -30,10 +35,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     before = _fingerprint(pairs)
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = _apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = _apart(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         pairs = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = _fingerprint(pairs)

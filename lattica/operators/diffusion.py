@@ -3,35 +3,38 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.components import connected_components
 from lattica.operators.network import degrees, symmetric
+from lattica.operators.ranking import numbered, running_sums
 from lattica.session import cut
 
 
-def approximate_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, epsilon: float = 1e-4, max_rounds: int = 200) -> DataFrame:
+def approximate_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, epsilon: float = 1e-4, max_rounds: int = 20_000) -> DataFrame:
     """``(seed, node, p, residue)`` by pushes in rounds: every node whose residue per edge is ``epsilon`` or more is pushed at once.
 
     A push moves alpha of the residue to p, keeps half of the rest and spreads the other half over the neighbours. It
-    stops when no node is active, so residues obey the same bound as those of one-by-one pushes, or after ``max_rounds``.
+    stops when no node is active, so residues obey the same bound as those of one-by-one pushes; not to be there after
+    ``max_rounds`` is an error.
     """
-    both = cut(symmetric(edges).join(degrees(edges), "node"))
-    known = both.select("node").distinct()
-    state = seeds.select(F.col("node").alias("seed"), "node").join(known, "node", "left_semi").select("seed", "node", F.lit(0.0).alias("p"), F.lit(1.0).alias("r"))
     deg = cut(degrees(edges))
+    both = cut(symmetric(edges).join(deg, "node"))
+    state = seeds.select(F.col("node").alias("seed"), "node").join(deg.select("node"), "node", "left_semi").select("seed", "node", F.lit(0.0).alias("p"), F.lit(1.0).alias("r"))
     for i in range(max_rounds):
         now = state.join(deg, "node").select("seed", "node", "p", "r", "degree", (F.col("r") / F.col("degree") >= epsilon).alias("active"))
-        now = cut(now)
-        if i % 4 == 0 and now.where("active").isEmpty():  # a round without active nodes changes nothing
-            break
+        if i % 2 == 0:
+            now = cut(now)
+            if i % 4 == 0 and now.where("active").isEmpty():  # a round without active nodes changes nothing
+                return state.select("seed", "node", "p", F.col("r").alias("residue"))
         kept = now.select("seed", "node", F.when(F.col("active"), F.col("p") + alpha * F.col("r")).otherwise(F.col("p")).alias("p"), F.when(F.col("active"), (1 - alpha) * F.col("r") / 2).otherwise(F.col("r")).alias("r"))
         sent = now.where("active").select("seed", "node", ((1 - alpha) * F.col("r") / (2 * F.col("degree"))).alias("s")).join(both.select("node", "neighbour"), "node")
         sent = sent.select("seed", F.col("neighbour").alias("node"), F.lit(0.0).alias("p"), F.col("s").alias("r"))
         state = kept.union(sent).groupBy("seed", "node").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    return state.select("seed", "node", "p", F.col("r").alias("residue"))
+    raise RuntimeError(f"residues are over their bound after {max_rounds} rounds")
 
 
 def pagerank_with_priors(edges: DataFrame, seeds: DataFrame, back: float, rounds: int = 30) -> DataFrame:
@@ -50,25 +53,19 @@ def sweep(edges: DataFrame, ranks: DataFrame) -> DataFrame:
 
     An edge's ends have positions; it leaves the boundary when the later one comes in, so cumulative sums give all cuts.
     """
-    deg = degrees(edges)
-    own = Window.partitionBy("seed")
-    order = own.orderBy(F.desc("q"), "node")
-    placed = cut(ranks.join(deg, "node").select("seed", "node", "degree", (F.col("p") / F.col("degree")).alias("q")).where("q > 0").withColumn("position", F.row_number().over(order)))
+    ranked = ranks.join(degrees(edges), "node").select("seed", "node", "degree", (F.col("p") / F.col("degree")).alias("q")).where("q > 0")
+    placed = cut(running_sums(ranked, ["seed"], [F.desc("q"), F.col("node")], position=F.lit(1).cast("long"), volume="degree"))
     at = lambda side: placed.select(F.col("seed").alias(f"seed_{side}"), F.col("node").alias(side), F.col("position").alias(f"at_{side}"))
     inner = edges.join(at("src"), "src").join(at("dst"), "dst").where("seed_src = seed_dst")
     closing = inner.groupBy(F.col("seed_src").alias("seed"), F.greatest("at_src", "at_dst").alias("position")).agg(F.count(F.lit(1)).alias("closed"))
     total = edges.agg((2 * F.count(F.lit(1))).alias("vol"))
-    run = own.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = placed.join(closing, ["seed", "position"], "left").crossJoin(F.broadcast(total))
-    cum = cum.withColumn("volume", F.sum("degree").over(run)).withColumn("boundary", F.col("volume") - 2 * F.sum(F.coalesce("closed", F.lit(0))).over(run))
-    return cum.select("seed", "position", "node", "volume", "boundary", (F.col("boundary") / F.nullif(F.least(F.col("volume"), F.col("vol") - F.col("volume")), F.lit(0))).alias("conductance"))
-
+    cum = running_sums(placed.join(closing, ["seed", "position"], "left"), ["seed"], [F.col("position")], inside="coalesce(closed, 0)").crossJoin(F.broadcast(total))
+    cum = cum.withColumn("boundary", F.col("volume") - 2 * F.col("inside"))
+    return cum.select("seed", F.col("position").cast("int").alias("position"), "node", "volume", "boundary", (F.col("boundary") / F.nullif(F.least(F.col("volume"), F.col("vol") - F.col("volume")), F.lit(0))).alias("conductance"))
 
-def nibble(edges: DataFrame, seeds: DataFrame, phi: float, b: int, max_rounds: int = 40) -> DataFrame:
-    """``(seed, node)``: the first prefix with conductance under ``phi`` and volume between 2^(b-1) and two thirds of the whole.
 
-    The return chance that ``phi`` asks for is so small that pushes settle slowly; ``max_rounds`` ends them.
-    """
+def nibble(edges: DataFrame, seeds: DataFrame, phi: float, b: int) -> DataFrame:
+    """``(seed, node)``: the first prefix with conductance under ``phi`` and volume between 2^(b-1) and two thirds of the whole."""
     if not 0 < phi <= 1 or b < 1:
         raise ValueError("phi lies in (0, 1], b is 1 or more")
     m = edges.count()
@@ -78,23 +75,54 @@ def nibble(edges: DataFrame, seeds: DataFrame, phi: float, b: int, max_rounds: i
     if b > top:
         raise ValueError(f"b is at most {top}")
     alpha = phi * phi / (225 * math.log(100 * math.sqrt(m)))
-    s = sweep(edges, approximate_pagerank(edges, seeds, alpha, 2.0**-b / (48 * top), max_rounds))
+    s = sweep(edges, approximate_pagerank(edges, seeds, alpha, 2.0**-b / (48 * top)))
     first = s.where((F.col("conductance") < phi) & (F.col("volume") > 2 ** (b - 1)) & (F.col("volume") < 4 * m / 3)).groupBy("seed").agg(F.min("position").alias("last"))
     return s.join(first, "seed").where("position <= last").select("seed", "node")
 
 
-def heat_kernel(edges: DataFrame, sources: DataFrame, time: float, terms: int = 12, drop_below: float = 0.0) -> DataFrame:
-    """``(source, node, value)``: rows of exp(-time * L) for the random-walk Laplacian, by its series.
+def series_terms(time: float, error: float) -> int:
+    """How many terms of exp(-time) * time^k / k! leave no more than ``error`` to the rest."""
+    k, term, left = 0, math.exp(-time), 1.0 - math.exp(-time)
+    while left > error:
+        k += 1
+        term *= time / k
+        left -= term
+        if k > 10 * (time + 10):
+            break
+    return k + 1
+
+
+def heat_kernel(edges: DataFrame, sources: DataFrame, time: float, error: float = 1e-9, mode: str = "random_walk") -> DataFrame:
+    """``(source, node, value)``: rows of exp(-time * L), by its series.
 
-    Each term is one join of the walk so far with the edges; ``terms`` bounds the error by time^terms / terms!.
-    ``drop_below`` cuts small walks off, for wide networks.
+    ``mode='random_walk'`` takes the random-walk Laplacian, whose rows sum to 1 and miss ``error`` at most: as many terms
+    are taken as that asks for, and nothing is dropped. ``mode='combinatorial'`` takes the symmetric one, degree less
+    links, by the same series over the largest degree. Each term is one join of the walk so far with the edges.
     """
+    if mode == "combinatorial":
+        return _symmetric_kernel(edges, sources, time, error)
+    terms = series_terms(time, error)
     both = cut(symmetric(edges).join(degrees(edges), "node"))
     walk = cut(sources.select(F.col("node").alias("source"), "node").distinct().join(both.select("node").distinct(), "node", "left_semi").select("source", "node", F.lit(math.exp(-time)).alias("value")))
     total = walk
     for k in range(1, terms):
         walk = walk.join(both, "node").groupBy("source", F.col("neighbour").alias("node")).agg(F.sum(F.col("value") * time / k / F.col("degree")).alias("value"))
-        walk = cut(walk.where(F.col("value") > drop_below))
+        walk = cut(walk)
+        total = total.union(walk)
+    return total.groupBy("source", "node").agg(F.sum("value").alias("value"))
+
+
+def _symmetric_kernel(edges: DataFrame, sources: DataFrame, time: float, error: float) -> DataFrame:
+    """exp(-t * L) = exp(-t * top) * exp(t * (top - L)); the steps of the second series are never negative."""
+    deg = cut(degrees(edges))
+    top = deg.agg(F.max("degree").alias("d")).first()["d"] or 0
+    both = cut(symmetric(edges))
+    walk = cut(sources.select(F.col("node").alias("source"), "node").distinct().join(deg, "node", "left_semi").select("source", "node", F.lit(math.exp(-time * top)).alias("value")))
+    total = walk
+    for k in range(1, series_terms(time * top, error)):
+        there = walk.join(both, "node").select("source", F.col("neighbour").alias("node"), "value")
+        stay = walk.join(deg, "node").select("source", "node", (F.col("value") * (top - F.col("degree"))).alias("value"))
+        walk = cut(there.union(stay).groupBy("source", "node").agg((F.sum("value") * time / k).alias("value")))
         total = total.union(walk)
     return total.groupBy("source", "node").agg(F.sum("value").alias("value"))
 
@@ -117,13 +145,40 @@ def hot_modules(weights: DataFrame, delta: float) -> DataFrame:
 def permuted_scores(scores: DataFrame, permutations: int, seed: str = "h") -> DataFrame:
     """``(perm, node, score)``: scores dealt anew among the nodes by two hash orders, for each permutation."""
     each = scores.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    w = Window.partitionBy("perm")
     keyed = lambda tag: F.md5(F.concat_ws(":", F.lit(seed + tag), "perm", "node"))
-    nodes = each.select("perm", "node", F.row_number().over(w.orderBy(keyed("n"), "node")).alias("r"))
-    values = each.select("perm", "score", F.row_number().over(w.orderBy(keyed("s"), "node")).alias("r"))
+    nodes = numbered(each.select("perm", "node", keyed("n").alias("h")), ["perm"], [F.col("h"), F.col("node")], "r").drop("h")
+    values = numbered(each.select("perm", "node", "score", keyed("s").alias("h")), ["perm"], [F.col("h"), F.col("node")], "r").drop("h", "node")
     return nodes.join(values, ["perm", "r"]).select("perm", "node", "score")
 
 
+def module_counts(kernel: DataFrame, edges: DataFrame, scores: DataFrame, deltas: list[float], permutations: int = 100, cutoff: float = 0.25) -> DataFrame:
+    """``(delta, modules)``: for each delta the modules whose false discovery rate is at most ``cutoff``."""
+    spark = edges.sparkSession
+    out = []
+    for delta in sorted(set(deltas)):
+        found = module_significance(kernel, edges, scores, delta, permutations).where(F.col("fdr") <= cutoff)
+        out.append(cut(found.agg(F.lit(float(delta)).alias("delta"), F.count(F.lit(1)).alias("modules"))))
+    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], "delta double, modules long")
+
+
+def choose_delta(kernel: DataFrame, edges: DataFrame, scores: DataFrame, deltas: list[float] | None = None, permutations: int = 100, cutoff: float = 0.25, digits: int = 1) -> float | None:
+    """The delta of most significant modules, the smallest of equal ones; None where no delta has any.
+
+    The first list is 0.0005 to 0.01 in steps of 0.0005. With more ``digits`` the best is sought anew, one digit finer at
+    a time, between the deltas beside it.
+    """
+    tried = sorted(deltas or [i / 2000 for i in range(1, 21)])
+    best = None
+    for step in range(digits):
+        found = module_counts(kernel, edges, scores, tried, permutations, cutoff).where("modules > 0").orderBy(F.desc("modules"), "delta").first()
+        if found is None:
+            return best
+        best = found["delta"]
+        gap = (tried[1] - tried[0] if len(tried) > 1 else best) / 10
+        tried = [d for d in (best + i * gap for i in range(-10, 11)) if d > 0]
+    return best
+
+
 def module_significance(kernel: DataFrame, edges: DataFrame, scores: DataFrame, delta: float, permutations: int = 100) -> DataFrame:
     """``(module, size, p_value, fdr)``: how often permuted scores give as many modules of at least that size."""
     real = hot_modules(hot_edges(kernel, edges, scores), delta).groupBy("module").agg(F.count(F.lit(1)).alias("size"))

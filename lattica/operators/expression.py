@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.stats import correlation, number_of_bins
+from lattica.operators.ranking import running_sums
 
 
 def log_transform(m: DataFrame) -> DataFrame:
@@ -31,9 +32,9 @@ def z_score(m: DataFrame) -> DataFrame:
 def rank_by_sample(m: DataFrame) -> DataFrame:
     """Place by falling value over the number of cells; equal values share the first place."""
     counts = m.where("value is not null").groupBy("sample", "value").agg(F.count(F.lit(1)).alias("n"))
-    above = Window.partitionBy("sample").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("sample")
-    place = counts.select("sample", "value", ((F.coalesce(F.sum("n").over(above), F.lit(0)) + 1) / F.sum("n").over(whole)).alias("rank"))
+    whole = counts.groupBy("sample").agg(F.sum("n").alias("cells"))
+    place = running_sums(counts, ["sample"], [F.desc("value")], upto="n").join(whole, "sample")
+    place = place.select("sample", "value", ((F.col("upto") - F.col("n") + 1) / F.col("cells")).alias("rank"))
     return m.where("value is not null").join(place, ["sample", "value"]).select("feature", "sample", F.col("rank").alias("value"))
 
 
@@ -83,13 +84,15 @@ def edge_correlation(m: DataFrame, edges: DataFrame, absolute: bool = False, exc
 
 
 def spearman(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Spearman's coefficient by group: Pearson's on mean ranks."""
+    """Spearman's coefficient by group: Pearson's on mean ranks, which come from the counts of distinct values. Pairs with a null are left out."""
 
-    def mean_rank(c):
-        w = Window.partitionBy(*by)
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
+    own = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
-    ranked = pairs.select(*by, mean_rank(x).alias("rx"), mean_rank(y).alias("ry"))
+    def mean_rank(c, name):
+        counts = own.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_n"))
+        return running_sums(counts, by, [F.col(c)], _upto="_n").select(*by, c, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+
+    ranked = own.join(mean_rank(x, "rx"), [*by, x]).join(mean_rank(y, "ry"), [*by, y])
     return ranked.groupBy(*by).agg(correlation(F.col("rx"), F.col("ry")).alias("spearman"))
 
 

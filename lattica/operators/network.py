@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.ranking import numbered
+
 
 def canonical(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Distinct edges, smaller end first, without self-interactions or null ends."""
@@ -55,17 +57,18 @@ def degree_summary(edges: DataFrame) -> DataFrame:
 def hubs(edges: DataFrame, share: float = 0.05) -> DataFrame:
     """``(node, degree, is_hub)``: the floor(n * share) nodes of highest degree are hubs, ties by node.
 
-    The cut is found on the degree histogram, and only nodes at the cut degree are ranked, in one window over them.
+    The cut is found on the degree histogram, and only nodes at the cut degree are numbered, by range parts.
     """
     d = degrees(edges)
     hist = d.groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
     above = Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)
     cum = hist.withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0)))
     want = hist.agg(F.floor(F.sum("n") * share).alias("k"))
-    cut = cum.crossJoin(F.broadcast(want)).select(F.col("degree").alias("deg"), (F.col("k") - F.col("before")).alias("room"))
+    cut = cum.crossJoin(F.broadcast(want)).select(F.col("degree").alias("deg"), "n", (F.col("k") - F.col("before")).alias("room"))
     placed = d.join(F.broadcast(cut), F.col("degree") == F.col("deg"))
-    rank = F.row_number().over(Window.partitionBy("deg").orderBy("node"))
-    return placed.select("node", "degree", (rank <= F.col("room")).alias("is_hub"))
+    clear = placed.where("room <= 0 or room >= n").select("node", "degree", (F.col("room") > 0).alias("is_hub"))
+    tied = numbered(placed.where("room > 0 and room < n"), [], [F.col("node")])  # nodes of the one degree at which the cut falls
+    return clear.union(tied.select("node", "degree", (F.col("rank") <= F.col("room")).alias("is_hub")))
 
 
 def without_hubs(edges: DataFrame, share: float = 0.01) -> DataFrame:

@@ -9,44 +9,56 @@ from lattica.operators.network import symmetric
 from lattica.session import cut
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 64, targets: DataFrame | None = None) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """``(source, node, distance)``, 0 to itself; unreachable nodes and sources outside the network have no row.
 
-    With ``targets(node)`` the search stops when every source has met all of them that it can.
+    ``max_depth`` searches no further. With ``targets(node)`` the search stops when every source has met all of them.
+    A neighbour of a level lies in it, before it or after it, so a level is held against the last two only, and levels
+    stay as they were written until the end.
     """
-    both = symmetric(edges)
-    start = sources.select(F.col("node").alias("source")).distinct().join(both.select(F.col("node").alias("source")).distinct(), "source", "left_semi")
-    seen = cut(start.select("source", F.col("source").alias("node"), F.lit(0).alias("distance")))
-    frontier = seen.select("source", "node")
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(both, "node").select("source", F.col("neighbour").alias("node")).distinct()
-        fresh = cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
+    both = cut(symmetric(edges))
+    start = _within(sources, both)
+    levels = [cut(start.select("source", F.col("source").alias("node")))]
+    wanted = None if targets is None else cut(targets.select("node").distinct())
+    left = None if wanted is None else levels[0].count() * wanted.join(both.select("node").distinct(), "node", "left_semi").count()
+    while max_depth is None or len(levels) <= max_depth:
+        if left is not None:
+            left -= levels[-1].join(wanted, "node", "left_semi").count()
+            if left <= 0:
+                break
+        step = levels[-1].join(both, "node").select("source", F.col("neighbour").alias("node")).distinct()
+        fresh = cut(step.join(_union(levels[-2:]), ["source", "node"], "left_anti"))
         if fresh.isEmpty():
             break
-        seen = cut(seen.union(fresh.withColumn("distance", F.lit(depth))))
-        if targets is not None:
-            wanted = start.crossJoin(F.broadcast(targets.select("node").distinct())).join(seen, ["source", "node"], "left_anti")
-            if wanted.isEmpty():
-                break
-        frontier = fresh
-    return seen if targets is None else seen.join(targets.select("node").distinct(), "node", "left_semi").select("source", "node", "distance")
+        levels.append(fresh)
+    seen = _union([level.withColumn("distance", F.lit(i)) for i, level in enumerate(levels)])
+    return seen if wanted is None else seen.join(wanted, "node", "left_semi").select("source", "node", "distance")
+
+
+def _within(sources: DataFrame, both: DataFrame) -> DataFrame:
+    return sources.select(F.col("node").alias("source")).distinct().join(both.select(F.col("node").alias("source")).distinct(), "source", "left_semi")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(source, node, path)``: one shortest path each, the one whose predecessors are smallest from the end backward."""
-    both = symmetric(edges)
-    start = sources.select(F.col("node").alias("source")).distinct().join(both.select(F.col("node").alias("source")).distinct(), "source", "left_semi")
-    seen = cut(start.select("source", F.col("source").alias("node"), F.array("source").alias("path")))
-    frontier = seen
-    for _ in range(max_depth):
-        step = frontier.join(both, "node").select("source", F.col("neighbour"), "node", "path")
+    both = cut(symmetric(edges))
+    levels = [cut(_within(sources, both).select("source", F.col("source").alias("node"), F.array("source").alias("path")))]
+    while max_depth is None or len(levels) <= max_depth:
+        step = levels[-1].join(both, "node").select("source", F.col("neighbour"), "node", "path")
         best = step.groupBy("source", F.col("neighbour").alias("node")).agg(F.min_by("path", step["node"]).alias("path"))
-        fresh = cut(best.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.array_append("path", F.col("node")).alias("path")))
+        old = _union([level.select("source", "node") for level in levels[-2:]])
+        fresh = cut(best.join(old, ["source", "node"], "left_anti").select("source", "node", F.array_append("path", F.col("node")).alias("path")))
         if fresh.isEmpty():
             break
-        seen = cut(seen.union(fresh))
-        frontier = fresh
-    return seen
+        levels.append(fresh)
+    return _union(levels)
 
 
 def path_edges(paths: DataFrame) -> DataFrame:
@@ -55,9 +67,9 @@ def path_edges(paths: DataFrame) -> DataFrame:
     return e.select("source", "node", F.least("e.a", "e.b").alias("src"), F.greatest("e.a", "e.b").alias("dst"))
 
 
-def set_distance(edges: DataFrame, first: DataFrame, second: DataFrame, max_depth: int = 64) -> DataFrame:
+def set_distance(edges: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """One row: mean of the least distances from the first set to the second and back, and the mean over all pairs that are connected."""
-    d = distances(edges, first, max_depth, targets=second)
+    d = distances(edges, first, targets=second)
     by_source = d.groupBy("source").agg(F.min("distance").alias("m"))
     by_target = d.groupBy("node").agg(F.min("distance").alias("m"))
     least = by_source.select("m").union(by_target.select("m")).agg(F.avg("m").alias("mean_min_distance"))

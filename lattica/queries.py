@@ -210,11 +210,6 @@ def _(spark, d):
     return rounded(network.clustering_coefficient(_net(spark, d)), "cliqueness")
 
 
-@query("cluster_cliqueness")
-def _(spark, d):
-    return rounded(network.cluster_cliqueness(_net(spark, d, 30), _brands(spark, d)), "cliqueness")
-
-
 @query("shared_neighbour_distance", f"""WITH {NET}, sh AS (SELECT n.src, n.dst, count(*) AS k FROM net n JOIN sym a ON a.node = n.src JOIN sym b ON b.node = n.dst AND a.neighbour = b.neighbour GROUP BY n.src, n.dst)
 SELECT n.src, n.dst, round(1.0 - (coalesce(k, 0) + 1)::DOUBLE / least(x.degree, y.degree), 8)::DOUBLE AS distance FROM net n JOIN deg x ON x.node = n.src JOIN deg y ON y.node = n.dst LEFT JOIN sh USING (src, dst)""")
 def _(spark, d):
@@ -266,11 +261,15 @@ def _(spark, d):
     return motifs.connect(_net(spark, d), _few(spark, d))
 
 
-@query("simple_cycles")
+ARCS = "arcs AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) + 1 AS dst FROM lineitem WHERE l_linenumber = 7 AND l_quantity = 50 AND l_returnflag <> 'N')"
+
+
+@query("simple_cycles", f"WITH RECURSIVE {ARCS}, w(cycle, last, done) AS (SELECT [src], src, false FROM (SELECT src FROM arcs UNION SELECT dst FROM arcs) x UNION ALL SELECT CASE WHEN dst = cycle[1] THEN cycle ELSE list_append(cycle, dst) END, dst, dst = cycle[1] FROM w JOIN arcs ON src = last WHERE NOT done AND (dst = cycle[1] OR (dst > cycle[1] AND NOT list_contains(cycle, dst)))) SELECT array_to_string(cycle, ',') AS cycle, len(cycle)::INT AS length FROM w WHERE done")
 def _(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity >= 45")
-    flow = li.select(F.col("l_suppkey").alias("src"), F.pmod(F.col("l_partkey"), F.lit(1000)).alias("dst")).where("src <> dst").groupBy("src", "dst").count().where("count > 2").select("src", "dst")
-    return motifs.simple_cycles(flow, longest=4).select(F.array_join("cycle", ",").alias("cycle"), "length")
+    li = table(spark, d, "lineitem").where("l_linenumber = 7 and l_quantity = 50 and l_returnflag <> 'N'")
+    n = table(spark, d, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    arcs = li.crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("src"), (F.pmod("l_partkey", F.col("n")) + 1).alias("dst")).distinct()
+    return motifs.simple_cycles(arcs).select(F.array_join("cycle", ",").alias("cycle"), "length")
 
 
 # ---------------------------------------------------------------- sets and tables
@@ -641,11 +640,6 @@ def _(spark, d):
     return rounded(diffusion.approximate_pagerank(_net(spark, d), _few(spark, d), 0.15, 1e-3), "p", "residue")
 
 
-@query("pagerank_with_priors")
-def _(spark, d):
-    return rounded(diffusion.pagerank_with_priors(_net(spark, d), _few(spark, d), 0.3, 10), "rank")
-
-
 @query("sweep_cut")
 def _(spark, d):
     net = _net(spark, d)
@@ -657,14 +651,9 @@ def _(spark, d):
     return diffusion.nibble(_net(spark, d), _few(spark, d, 3), 0.9, 4)
 
 
-@query("heat_kernel")
-def _(spark, d):
-    return rounded(diffusion.heat_kernel(_net(spark, d), _few(spark, d), 0.5, 8), "value")
-
-
 def _hot(spark, d):
     net = cut(_net(spark, d))
-    kernel = cut(diffusion.heat_kernel(net, network.vertices(net), 0.3, 3, drop_below=1e-4))
+    kernel = cut(diffusion.heat_kernel(net, network.vertices(net), 0.3, error=1e-3))
     return net, kernel, _scores(spark, d)
 
 
@@ -715,3 +704,6 @@ def _(spark, d):
 @query("brand_tour")
 def _(spark, d):
     return rounded(motifs.shortest_tour(_brand_pairs(spark, d), islands=8), "length", digits=6)
+
+
+from lattica import file_queries, report_queries  # noqa: E402, F401  they register their queries here

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +18,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lattica-checkpoint-"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, for files that one job writes and another reads."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}/{name}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs no long recomputation."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -1,3 +1,4 @@
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -19,7 +20,16 @@ def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["hubs", "clustering_coefficient", "fisher_tables", "expr_rank", "maf_site_frequency", "configuration_model"])
+def _registered(*modules: str) -> list[str]:
+    """Names of the queries with SQL that the modules register."""
+    text = "".join((HERE / "lattica" / m).read_text() for m in modules)
+    return [n for n in re.findall(r'@query\("(\w+)"', text) if n in entry.oracle_sql()]
+
+
+MOST = ["hubs", "network_without_hubs", "clustering_coefficient", "fisher_tables", "expr_rank", "expr_spearman", "empirical_fdr", "permuted_scores", "maf_site_frequency", "configuration_model", "bfs_distances", "simple_cycles"]
+
+
+@pytest.mark.parametrize("name", [*MOST, *_registered("file_queries.py", "report_queries.py")])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for path in Path(DATA).glob("*.parquet"):
@@ -44,3 +54,7 @@ def test_library_stands_without_the_text_subpackage(tmp_path):
                 to.parent.mkdir(parents=True, exist_ok=True)
                 to.write_text(f.read_text())
     subprocess.run([sys.executable, "-c", code, str(tmp_path)], check=True, cwd=tmp_path)
+    (tmp_path / "lattica/llm").mkdir()
+    (tmp_path / "lattica/llm/__init__.py").write_text("")
+    (tmp_path / "lattica/llm/queries.py").write_text("import no_such_module_anywhere\n")
+    subprocess.run([sys.executable, "-c", code, str(tmp_path)], check=True, cwd=tmp_path)

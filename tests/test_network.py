@@ -1,10 +1,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import clustering, diffusion, enrichment, motifs, network, ontology, paths, random_nets
+from lattica.operators import clustering, diffusion, enrichment, motifs, network, ontology, paths, random_nets, ranking
 from lattica.operators.components import connected_components
 
 BRIDGED = [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6)]
@@ -91,9 +92,9 @@ def test_maximal_cliques_match_brute_force(spark):
 
 
 def test_spectral_split_finds_the_bridge(spark):
-    side = {r["node"]: r["side"] for r in motifs.spectral_split(edges(spark, BRIDGED), rounds=40).collect()}
+    side = {r["node"]: r["side"] for r in motifs.spectral_split(edges(spark, BRIDGED)).collect()}
     assert side[1] == side[2] == side[3] != side[4] and side[4] == side[5] == side[6]
-    got = dict(rows(motifs.spectral_clusters(edges(spark, BRIDGED), levels=2)))
+    got = dict(rows(motifs.spectral_clusters(edges(spark, BRIDGED))))
     assert len(set(got.values())) == 2 and got[1] == got[3] != got[4]
 
 
@@ -133,7 +134,7 @@ def test_push_obeys_its_bound_and_sums_to_one(spark):
 
 def test_heat_kernel_rows_sum_to_one_and_modules(spark):
     e = edges(spark, BRIDGED)
-    k = diffusion.heat_kernel(e, network.vertices(e), 0.4, 14)
+    k = diffusion.heat_kernel(e, network.vertices(e), 0.4)
     assert all(r[1] == pytest.approx(1.0) for r in rows(k.groupBy("source").agg(F.sum("value"))))
     scores = spark.createDataFrame([(i, 1.0 if i < 4 else 0.01) for i in range(1, 7)], "node long, score double")
     weights = diffusion.hot_edges(k, e, scores)
@@ -191,3 +192,76 @@ def test_enrichment_where_every_key_has_the_term(spark):
     ann = spark.createDataFrame([("x", "t"), ("y", "t"), ("x", "u")], "key string, term string")
     got = {r["term"]: r["p_value"] for r in enrichment.enrich(spark.createDataFrame([("x",), ("x",)], "key string"), ann).collect()}
     assert got["t"] == 1.0 and got["u"] == pytest.approx(0.25)
+
+
+def test_heat_kernels_match_exact_ones(spark):
+    e = edges(spark, BRIDGED)
+    a = np.zeros((6, 6))
+    for x, y in BRIDGED:
+        a[x - 1, y - 1] = a[y - 1, x - 1] = 1
+    degree = a.sum(axis=1)
+    for mode, laplacian in (("random_walk", np.eye(6) - a / degree[:, None]), ("combinatorial", np.diag(degree) - a)):
+        exact, term = np.zeros((6, 6)), np.eye(6)
+        for k in range(1, 60):
+            exact, term = exact + term, term @ (-0.7 * laplacian) / k
+        got = {(r[0], r[1]): r[2] for r in diffusion.heat_kernel(e, network.vertices(e), 0.7, mode=mode).collect()}
+        for i in range(6):
+            for j in range(6):
+                assert got.get((i + 1, j + 1), 0.0) == pytest.approx(exact[i, j], abs=1e-7)
+
+
+def test_running_sums_match_plain_ones_with_one_hot_key(spark):
+    random.seed(5)
+    rows_ = [("hot" if i % 3 else f"k{i % 7}", random.randint(0, 40), i) for i in range(400)] + [(None, 1, 1000), (None, 2, 1001)]
+    df = spark.createDataFrame(rows_, "k string, v long, i long")
+    got = {r["i"]: r["s"] for r in ranking.running_sums(df, ["k"], [F.col("v"), F.col("i")], s="v").collect()}
+    want, total = {}, {}
+    for k, v, i in sorted(rows_, key=lambda r: (r[1], r[2])):
+        total[k] = total.get(k, 0) + v
+        want[i] = total[k]
+    assert got == want
+    assert ranking.numbered(df.limit(0), ["k"], [F.col("i")]).count() == 0
+
+
+def test_searches_go_to_the_end_of_long_paths(spark):
+    n = 70
+    chain = edges(spark, [(i, i + 1) for i in range(n)])
+    one = spark.createDataFrame([(0,)], "node long")
+    assert paths.distances(chain, one).agg(F.max("distance")).first()[0] == n
+    assert paths.distances(chain, one, max_depth=3).count() == 4
+    goal = spark.createDataFrame([(5,)], "node long")
+    assert rows(paths.distances(chain, one, targets=goal)) == [(0, 5, 5)]
+
+
+def test_large_cliques_and_cycles_are_found(spark):
+    k = 9
+    clique = edges(spark, list(itertools.combinations(range(k), 2)) + [(0, 100)])
+    assert rows(motifs.maximal_cliques(clique).select("size")) == [(k,)]
+    ring = edges(spark, [(i, (i + 1) % 12) for i in range(12)])
+    assert rows(motifs.simple_cycles(ring).select("length")) == [(12,)]
+    assert motifs.simple_cycles(ring, longest=5).count() == 0
+
+
+def test_grown_components_lose_leaves_that_cost(spark):
+    e = edges(spark, [(1, 2), (2, 3), (3, 4), (1, 5)])
+    scores = spark.createDataFrame([(1, 1.0), (2, 0.9), (3, 5.0), (4, 5.0), (5, -3.0)], "node long, score double")
+    found = motifs.grow_components(e, scores, spark.createDataFrame([(1,), (3,)], "node long"))
+    by = {}
+    for s, n, _ in rows(found):
+        by.setdefault(s, set()).add(n)
+    assert by[3] == {3, 4} and 5 not in by[1]
+    assert [r["rank"] for r in motifs.distinct_components(found).orderBy("rank").collect()] == list(range(1, len({frozenset(x) for x in by.values()}) + 1))
+
+
+def test_spectral_clusters_reach_the_modularity_of_an_exact_run(spark):
+    three = [(a + 10 * g, b + 10 * g) for g in range(3) for a, b in itertools.combinations(range(5), 2)] + [(0, 10), (10, 20)]
+    got = dict(rows(motifs.spectral_clusters(edges(spark, three))))
+    assert len(set(got.values())) == 3 and all(len({got[a + 10 * g] for a in range(5)}) == 1 for g in range(3))
+
+
+def test_keep_degrees_adds_no_edges(spark):
+    random.seed(8)
+    pairs = sorted({tuple(sorted((random.randint(0, 60), random.randint(0, 60)))) for _ in range(300)})
+    pairs = [p for p in pairs if p[0] != p[1]]
+    got = random_nets.keep_degrees(edges(spark, pairs)).count()
+    assert 0.7 * len(pairs) <= got <= len(pairs)
