@@ -129,10 +129,6 @@ class ByteMemo:
         self.size += size
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    return df
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -142,7 +143,18 @@ def test_op9_segments_match_the_definition():
 
     for _ in range(60):
         s = np.where(rng.random(25) < 0.3, rng.random(25) * 3 + 0.1, -0.37)
-        assert [x[:2] for x in toxicity.maximal_segments(s, -0.37)] == brute(s, 0)
+        at = np.flatnonzero(s > 0)
+        assert [x[:2] for x in toxicity.maximal_segments(at.tolist(), s[at].tolist(), -0.37)] == brute(s, 0)
+
+
+def test_op9_segments_take_linear_time():
+    """Gains spaced by losses so that every candidate stays open, and rising ones that merge; a quadratic scan takes hours."""
+    start = time.perf_counter()
+    n = 100_000
+    for gains in ([0.2] * n, [0.6] * n, [0.1 + i / n for i in range(n)], [1.1 - i / n for i in range(n)]):
+        found = toxicity.maximal_segments(list(range(0, 2 * n, 2)), gains, -0.3)
+        assert found and all(a < b for a, b, _ in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+    assert time.perf_counter() - start < 10
 
 
 def test_op4_matches_brute_force(spark, awkward, empty):
@@ -151,13 +163,29 @@ def test_op4_matches_brute_force(spark, awkward, empty):
     assert got[1]["labels"] == "apache-2.0" and got[1]["score"] >= 0.8 and got[1]["n_base"] == 0 and got[1]["first_word"] is None
     assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"], got[2]["base_labels"]) == (3, 0, 5, "cc-by,reserved")
     assert got[3]["base_labels"] == "" and got[4]["n_words"] == 3
-    index = licenses.TemplateIndex({})
+    index = licenses.TemplateIndex({"the": 900, "license": 40, "software": 30, "of": 800})
     rng = np.random.default_rng(2)
-    words = sorted({w for t in licenses.TEMPLATES for w in t.split()})
-    for _ in range(300):
-        block = set(rng.choice(words, int(rng.integers(1, 25))))
-        want = {i: len(block & s) / len(s) for i, s in enumerate(index.sets) if len(block & s) >= 0.8 * len(s) - 1e-9}
-        assert index.meet(block) == want
+    bodies = [t.split() for t in licenses.TEMPLATES]
+    for _ in range(150):
+        text = []
+        for _ in range(int(rng.integers(1, 4))):
+            body = [w for w in bodies[int(rng.integers(len(bodies)))] if rng.random() > 0.12]
+            if rng.random() < 0.3:
+                rng.shuffle(body)
+            text += list(rng.choice(["x", "the", "of", "license", "and", "software"], int(rng.integers(0, 30)))) + body
+        want = {}
+        for i, s in enumerate(index.sets):
+            best = max(len(s.intersection(text[a : a + index.width[i]])) for a in range(len(text)))
+            if best >= index.need[i]:
+                want[i] = best / len(s)
+        assert index.meet(text, set(text)) == want
+    assert index.dropped["position"] > 0 and index.dropped["length"] > 0
+    mit = next(t for t, label in licenses.TEMPLATES.items() if label == "mit" and len(t.split()) > 40).split()
+    wrapped = "// " + "\n\n//  ".join(" ".join(mit[a : a + 5]) for a in range(0, len(mit), 5))
+    far = " ".join(f"{w} " + "filler " * 12 for w in mit)
+    rows = [(1, wrapped), (2, far), (3, "released under the license"), (4, "Released under the\nMIT license")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "", 3: "", 4: "mit"}
     assert licenses.scan_licenses(awkward).count() == len(AWKWARD) and licenses.scan_licenses(empty).count() == 0
 
 
@@ -174,10 +202,12 @@ def test_op5_matches_enumeration_and_round_trips(awkward, empty):
                     yield score + rest, model.ids_of(s, 0, n) + ids
 
     for text in ("the cat", "hé 中x", "a  b", "ing the", "aaaaaa"):
-        want = sorted(every(nbest.MARK + text.replace(" ", nbest.MARK)), key=lambda p: (-p[0], p[1]))[:4]
-        ids, best, _ = model.encode(text, 4)
-        assert [s for s, _ in best] == pytest.approx([s for s, _ in want])
+        want = sorted(every(nbest.MARK + text.replace(" ", nbest.MARK)), key=lambda p: (-p[0], p[1]))
+        [(ids, best)] = model.encode_all([text], 4)
+        assert [s for s, _ in best] == pytest.approx([s for s, _ in want[:4]])
         assert tuple(np.frombuffer(ids, "<u4")) in [i for s, i in want if s == pytest.approx(want[0][0])]
+    words = ["▁cat", "▁thing", "▁😀中x", "▁▁", "é\ud800", "▁antidisestablishmentarianism", "▁", "b", "▁aaaaaaaaaaaaaaaaaaaaaaa"]
+    assert dict(zip(*model.best_of_all(words))) == {w: model.best(w) for w in words}
     got = nbest.encode_n_best(awkward)
     assert got.where("round_trip").count() == len(AWKWARD) and nbest.encode_n_best(empty).count() == 0
     back = {r["doc_id"]: r["text"] for r in nbest.decode_ids(got).collect()}
@@ -289,7 +319,7 @@ def test_op3_recall_and_scores(spark):
 def test_op6_is_exact(spark):
     df, rows = vectors(spark, seed=9)
     got = {}
-    for r in exact_topk.exact_top_k(df, rows_per_group=100, queries_per_block=3).collect():
+    for r in exact_topk.exact_top_k(df, rows_per_group=100, queries_per_cell=3).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     x = {i: np.floor(1024 * np.array(v, dtype=float)).astype(np.int64) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     for q in (i for i in x if i % 100 == 0):
@@ -298,6 +328,22 @@ def test_op6_is_exact(spark):
     assert exact_topk.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_op6_bounds_hold_and_each_level_sees_survivors_only():
+    rng = np.random.default_rng(12)
+    steps = np.repeat(rng.integers(-900, 900, (400, 8)), 8, axis=1) + rng.integers(-20, 20, (400, 64))  # smooth, so that segments say much
+    q = steps[:40]
+    for x in (steps, rng.integers(-900, 900, (400, 64))):
+        for level in range(3):
+            assert (exact_topk.upper_bounds(q.astype(float), x.astype(float), level) >= q @ x.T).all()
+    counts = {}
+    ids = np.arange(400)
+    got = exact_topk.block_top_k(ids, steps, ids[:40], q, np.full(40, np.nan), 5, counts=counts)
+    assert counts["pairs"] == 16_000 > counts[4] > counts[8] >= counts[16] and counts[16] < 1_500
+    for i in range(40):
+        want = sorted((-int(q[i] @ steps[j]), j) for j in range(400) if j != i)[:5]
+        assert [(-r.score, r.vec_id) for r in got[got["query_id"] == i].itertuples()] == want
+
+
 def test_query_digest_of_op1(spark, tmp_path):
     spark.createDataFrame([(1, "password=abcdefgh"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in secrets.op1_secret_scans(spark, str(tmp_path)).collect()}
