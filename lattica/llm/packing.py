@@ -3,8 +3,8 @@
 The plan needs only how many pieces there are of each length, at most ``capacity`` numbers whatever the input: from the
 longest length down, single, pair and triple sums of the lengths still available are looked up for the exact gap and
 consumed as often as the counts allow; what is left is packed best-fit. The plan is a list of runs ``(length, ranks,
-sequences, offset)``; pieces get their rank within their length in two steps (a count per salt, then a row number
-inside the salt), so that one length may hold any share of the rows, and find their run by a range condition.
+sequences, offset)``; pieces are numbered within their length by the task that makes them and get their rank from the
+counts of the tasks before, so that one length may hold any share of the rows; they find their run by a range condition.
 
 Defined results: a null text is an empty one, whose document is the end id alone; rows with a null doc_id are packed
 like others; repeated rows are documents of their own; an empty table gives no sequence; extra columns are ignored.
@@ -12,23 +12,25 @@ like others; repeated rows are documents of their own; an empty table gives no s
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import small_batches
+from lattica.llm.common import ByteMemo, portions
 from lattica.session import cut, table
 
 CAPACITY = 4096
 END_ID = 1
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, inside long"
 PLAN = "length long, rank_from long, rank_to long, per_sequence long, sequence_from long, offset_from long"
-CHUNK_MEMO, WORD_MEMO = 500_000, 500_000
+MEMO_BYTES, PORTION = 96 << 20, 1 << 19
 
 
 def tokenizer_path() -> str:
@@ -47,68 +49,60 @@ class WordEncoder:
 
     #: The tokenizer's own pattern of words.
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    #: White space to ``str.split`` but signs to the tokenizer.
-    ODD = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
+    #: White space to ``str.split`` but signs to the tokenizer, and its special tokens.
+    ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "oftext|>")
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)  # for words that are in normal form and parted already
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words = regex.compile(self.WORDS)
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, dtype=bool)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.chunk_ids: dict[str, bytes] = {}
-        self.word_ids: dict[str, bytes] = {}
+        self.memo = ByteMemo(MEMO_BYTES)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, chunks: list[str]) -> None:
-        from unicodedata import is_normalized, normalize
-
-        if len(self.chunk_ids) + len(chunks) > CHUNK_MEMO:
-            self.chunk_ids.clear()
-        if len(self.word_ids) > WORD_MEMO:
-            self.word_ids.clear()
-        parts = []
-        fresh: dict[str, None] = {}
-        known = self.word_ids
-        for c in chunks:
-            c = c if is_normalized("NFC", c) else normalize("NFC", c)
-            words = self.words.findall(c.replace("Σ", "σ").lower())  # letter by letter, so no final sigma
-            parts.append(words)
-            fresh.update((w, None) for w in words if w not in known)
-        names = list(fresh)
-        for at in range(0, len(names), 20_000):
-            own = names[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, dtype="<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
+    def word_ids(self, words: set[str]) -> dict[str, bytes]:
+        known, fresh = self.memo.split(words)
+        for at in range(0, len(fresh), 2_000):
+            own = fresh[at : at + 2_000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stop) == len(own):
-                b = ids.tobytes()
-                start = [0, *(stop[:-1] * 4).tolist()]
-                known.update((w, b[s:e]) for w, s, e in zip(own, start, (stop * 4).tolist()))
+                b, stop = ids.tobytes(), stop.tolist()
+                found = {w: b[s:e] for w, s, e in zip(own, [0, *stop], stop)}
             else:
-                known.update((w, self.whole(w)) for w in own)
-        self.chunk_ids.update((c, b"".join([known[w] for w in p])) for c, p in zip(chunks, parts))
+                found = {w: self.whole(w) for w in own}
+            self.memo.keep(found, 4 * len(ids))
+            known |= found
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [None if self.ODD.search(t) else t.split() for t in texts]
-        out = []
-        for at in range(0, len(texts), 256):
-            group = split[at : at + 256]
-            known = self.chunk_ids
-            new = {c for s in group if s for c in s if c not in known}
-            if new:
-                if len(known) + len(new) > CHUNK_MEMO:
-                    new = {c for s in group if s for c in s}
-                self.learn(list(new))
-            for t, s in zip(texts[at : at + 256], group):
-                out.append(self.whole(t) if s is None else b"".join([known[c] for c in s]))
-        return out
+        from unicodedata import is_normalized, normalize
+
+        odd = [any(x in t for x in self.ODD) for t in texts]
+        low = ["" if o else t if is_normalized("NFC", t) else normalize("NFC", t) for t, o in zip(texts, odd)]
+        split = pc.utf8_split_whitespace(pa.array([t.replace("Σ", "σ").lower() for t in low], pa.string()))  # letter by letter, so no final sigma
+        numbered = split.flatten().dictionary_encode()
+        chunks = numbered.dictionary.to_pylist()
+        parted = {c: self.words.findall(c) for c in chunks if not c.isalpha()}
+        ids = self.word_ids({c for c in chunks if c not in parted}.union(*parted.values()))
+        parts = [b"".join([ids[w] for w in parted[c]]) if c in parted else ids[c] for c in chunks]
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        start, at = np.cumsum(size) - size, numbered.indices.to_numpy()
+        end = np.concatenate([[0], np.cumsum(size[at])])  # of each chunk of the texts: where its ids end
+        take = np.repeat(start[at] - end[:-1], size[at]) + np.arange(end[-1])
+        flat = np.frombuffer(b"".join(parts), dtype="<u4")[take].tobytes()
+        cuts = (end[split.offsets.to_numpy()] * 4).tolist()
+        return [self.whole(t) if o else flat[x:y] for t, o, x, y in zip(texts, odd, cuts, cuts[1:])]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -122,23 +116,33 @@ def encoder(path: str) -> WordEncoder:
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The documents' ids, ended by ``end_id`` and cut where longer than ``capacity``: one row a piece."""
+    """The documents' ids, ended by ``end_id`` and cut where longer than ``capacity``: one row a piece.
+
+    ``part`` is the task that made the piece and ``inside`` its number, from 0, among that task's pieces of its length.
+    """
     path = path or tokenizer_path()
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches):
-        enc = encoder(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, part = encoder(path), TaskContext.get().partitionId()
+        seen = [0] * (capacity + 1)
         for batch in batches:
-            rows = []
-            ids = enc.encode([t or "" for t in batch["text"]])
-            for doc, b in zip(batch["doc_id"], ids):
-                b += end
-                for piece, at in enumerate(range(0, len(b), 4 * capacity)):
-                    own = b[at : at + 4 * capacity]
-                    rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": batch["doc_id"].dtype})
-
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
+            for first, stop in portions(pc.binary_length(batch.column("text")).to_pylist(), PORTION):
+                own = batch.slice(first, stop - first)
+                row, rows = [], []
+                for i, b in enumerate(enc.encode([t or "" for t in own.column("text").to_pylist()])):
+                    b += end
+                    for piece, at in enumerate(range(0, len(b), 4 * capacity)):
+                        ids = b[at : at + 4 * capacity]
+                        n = len(ids) // 4
+                        row.append(i)
+                        rows.append((piece, at // 4, n, zlib.crc32(ids), part, seen[n]))
+                        seen[n] += 1
+                doc = own.column("doc_id").take(pa.array(row, pa.int64()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([doc, *columns], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "inside"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
 def _take(free: np.ndarray, lengths: tuple[int, ...]) -> int:
@@ -237,17 +241,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return rows
 
 
-def ranked(pieces: DataFrame, rows_per_salt: int = 200_000) -> DataFrame:
-    """Adds ``rank``, from 0 within each length, without bringing a length together in one task."""
-    total = pieces.count()
-    salts = max(32, -(-total // rows_per_salt))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = salted.withColumn("_inside", F.row_number().over(inside) - 1)
-    return numbered.join(sizes, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("_inside")).drop("salt", "_inside", "base")
+def ranked(pieces: DataFrame) -> DataFrame:
+    """Adds ``rank``, from 0 within each length: the pieces of that length in earlier tasks, and ``inside``. No raw rows are sorted or gathered."""
+    sizes = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    sizes = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return pieces.join(sizes, ["length", "part"]).withColumn("rank", F.col("base") + F.col("inside")).drop("part", "inside", "base")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
