@@ -167,7 +167,10 @@ def _(spark, d):
     flag = F.when(F.col("p_size") % 2 == 0, "no").otherwise("yes")
     sentence = F.concat(F.lit("<Sentence><DiseaseData><NCIDiseaseConceptCode>C"), F.col("p_size").cast("string"), F.lit("</NCIDiseaseConceptCode></DiseaseData><NegationIndicator>"), flag, F.lit("</NegationIndicator><SentenceStatusFlag>finished</SentenceStatusFlag></Sentence>"))
     entry = F.concat(F.lit("<GeneEntry><HUGOGeneSymbol>"), "p_brand", F.lit("</HUGOGeneSymbol>"), sentence, F.lit("</GeneEntry>"))
-    return readers.gene_disease(spark, _lines(spark, table(spark, d, "part").select(entry), "diseases"))
+    files = table(spark, d, "part").select("p_brand", entry.alias("e")).groupBy("p_brand").agg(F.concat(F.lit("<Entries>"), F.array_join(F.collect_list("e"), ""), F.lit("</Entries>")).alias("value"))
+    path = shared_path(spark, "diseases")
+    files.write.partitionBy("p_brand").text(path)  # a whole document a file
+    return readers.gene_disease(spark, path)
 
 
 @query("read_path_report", "SELECT n_name || '->' || n_regionkey AS pair, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey || ' a;' || n_nationkey || ' b' ELSE '' END AS edges FROM nation")

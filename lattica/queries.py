@@ -78,6 +78,13 @@ def _scores(spark, d) -> DataFrame:
     return p.crossJoin(F.broadcast(top)).select(F.col("p_partkey").alias("node"), (F.col("p_retailprice") / F.col("m")).alias("score"))
 
 
+def _centred_scores(spark, d) -> DataFrame:
+    """Prices as deviations from their mean, so that about half of the parts lower a sum."""
+    p = table(spark, d, "part")
+    m = p.agg(F.avg("p_retailprice").alias("m"), F.stddev_samp("p_retailprice").alias("s"))
+    return p.crossJoin(F.broadcast(m)).select(F.col("p_partkey").alias("node"), F.round((F.col("p_retailprice") - F.col("m")) / F.col("s"), 6).alias("score"))
+
+
 def _few(spark, d, n: int = 10) -> DataFrame:
     """The ``n`` parts of most links: the sources of searches."""
     return network.degrees(_net(spark, d)).orderBy(F.desc("degree"), "node").limit(n).select("node")
@@ -253,7 +260,7 @@ def _(spark, d):
 
 @query("grown_components")
 def _(spark, d):
-    return rounded(motifs.grow_components(_net(spark, d), _scores(spark, d), _few(spark, d)), "score")
+    return rounded(motifs.grow_components(_net(spark, d), _centred_scores(spark, d), _few(spark, d)), "score")
 
 
 @query("connecting_network")

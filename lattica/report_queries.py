@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.operators import diffusion, motifs, network, paths, random_nets, reports
-from lattica.queries import ANN, MOD, NET, TERMS, _annotation, _brands, _economy, _few, _net, _scores, query, rounded
+from lattica.queries import ANN, MOD, NET, TERMS, _annotation, _brands, _centred_scores, _economy, _few, _net, query, rounded
 from lattica.session import cut, shared_path, table
 
 CT = """cc AS (SELECT p_brand AS cluster, p_partkey AS node FROM part), topics AS (SELECT p_brand AS cluster, p_type AS term, count(*) / 1000.0 AS p_value FROM part GROUP BY ALL)"""
@@ -167,15 +167,15 @@ def _(spark, d):
 
 @query("distinct_grown_components")
 def _(spark, d):
-    found = motifs.grow_components(_net(spark, d), _scores(spark, d), _few(spark, d))
+    found = motifs.grow_components(_net(spark, d), _centred_scores(spark, d), _few(spark, d))
     return rounded(motifs.distinct_components(found).select(F.array_join("members", ",").alias("members"), "size", "score", "rank"), "score")
 
 
-@query("permuted_networks", f"WITH {NET} SELECT count(*) AS edges, 3::BIGINT AS networks FROM net")
+@query("permuted_networks", f"WITH {NET} SELECT count(*) AS edges, 2::BIGINT AS networks FROM net")
 def _(spark, d):
     path = shared_path(spark, "permuted")
     net = cut(_net(spark, d))
-    random_nets.write_permuted(net, path, 3)
+    random_nets.write_permuted(net, path, 2, rounds=1)
     back = spark.read.text(path)
     per = back.groupBy("perm").agg(F.count(F.lit(1)).alias("edges"))
     return per.groupBy("edges").agg(F.count(F.lit(1)).alias("networks"))
