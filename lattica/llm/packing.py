@@ -30,7 +30,7 @@ CAPACITY = 4096
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, inside long"
 PLAN = "length long, rank_from long, rank_to long, per_sequence long, sequence_from long, offset_from long"
-MEMO_BYTES, PORTION = 96 << 20, 1 << 19
+MEMO_BYTES, PORTION = 96 << 20, 1 << 22
 
 
 def tokenizer_path() -> str:
