@@ -10,6 +10,7 @@ from lattica.llm.ann import op3_nearest_neighbours
 from lattica.llm.exact_topk import TOPK_SQL, op6_exact_topk
 from lattica.llm.jaccard_join import op10_ngram_jaccard_join
 from lattica.llm.licenses import license_sql, op4_license_scans
+from lattica.llm.mixing import MIX_SQL, op11_mix_sources
 from lattica.llm.nbest import op5_nbest_pieces
 from lattica.llm.packing import op8_best_fit_packing
 from lattica.llm.pii import op7_surrogates
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_mix_sources": op11_mix_sources,
 }
 
 SQL: dict[str, str] = {
     "op4_license_scans": license_sql(),
     "op6_exact_topk": TOPK_SQL,
+    "op11_mix_sources": MIX_SQL,
 }
