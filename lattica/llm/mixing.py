@@ -109,7 +109,8 @@ def mixed_blocks(laid: DataFrame, sources: DataFrame, block: int = BLOCK_WORDS)
     parts = turns.withColumn("rank", F.explode(F.sequence(_div(F.col("at"), block), _div(F.col("end") - 1, block))))
     first = F.greatest(F.col("at"), F.col("rank") * block)
     parts = parts.withColumn("first_word", first - F.col("at")).withColumn("words", F.least(F.col("end"), (F.col("rank") + 1) * block) - first)
-    return parts.join(schedule(sources, block), ["no", "rank"]).select("slot", "no", "rank", "doc_id", "size", "source_size", "target", "start", "first_word", "words")
+    slots = schedule(sources, block).hint("merge")  # written out from few rows: its size is taken for small, so it must not be broadcast
+    return parts.join(slots, ["no", "rank"]).select("slot", "no", "rank", "doc_id", "size", "source_size", "target", "start", "first_word", "words")
 
 
 def planned(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.ann import op3_nearest_neighbours
+from lattica.llm.collocations import COLLOCATIONS_SQL, op12_collocations
+from lattica.llm.divergence import DIVERGENCE_SQL, op13_divergence
 from lattica.llm.exact_topk import TOPK_SQL, op6_exact_topk
 from lattica.llm.jaccard_join import op10_ngram_jaccard_join
 from lattica.llm.licenses import license_sql, op4_license_scans
@@ -30,10 +32,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_mix_sources": op11_mix_sources,
+    "op12_collocations": op12_collocations,
+    "op13_divergence": op13_divergence,
 }
 
 SQL: dict[str, str] = {
     "op4_license_scans": license_sql(),
     "op6_exact_topk": TOPK_SQL,
     "op11_mix_sources": MIX_SQL,
+    "op12_collocations": COLLOCATIONS_SQL,
+    "op13_divergence": DIVERGENCE_SQL,
 }
