@@ -175,57 +175,109 @@ def _suffix_rows(ids: np.ndarray, own: int, good: np.ndarray, hot: np.ndarray, n
     return parts, deal.view(np.int64), c.astype(np.int64)
 
 
+class PrefixStack:
+    """Counts of the open phrases of one language, as its suffixes come sorted backward, a batch at a time.
+
+    ``words[k]`` and ``sums[k]`` are the open phrase of k + 1 words and its count so far. Within a batch a phrase is a run of
+    rows that begin alike, so what the stack would push and pop is found for all rows of a depth at once.
+    """
+
+    def __init__(self, hot: set[bytes], least: int):
+        self.hot, self.least = hot, least
+        self.words: list[bytes] = []
+        self.sums: list[int] = []
+
+    def closed(self, words: list[bytes], n: int) -> bool:
+        """Whether a phrase that is done goes out: frequent, or to be added up with what others counted."""
+        return len(words) > 1 and (n >= self.least or len(words) < LONGEST and all(w in self.hot for w in words))
+
+    def push(self, suffixes: pa.Array, c: np.ndarray) -> list[tuple[bytes, int]]:
+        """Phrases that the rows close, with their counts."""
+        lists = pc.split_pattern(suffixes, b"\t")
+        offsets = lists.offsets.to_numpy()
+        flat = pc.cast(lists.values, pa.binary()).dictionary_encode()
+        ids, names = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+        size = np.diff(offsets) - 1  # the last word of each is empty
+        offsets = offsets[:-1]
+        hot = np.array([w in self.hot for w in names.to_pylist()], dtype=bool)
+        out: list[tuple[bytes, int]] = []
+        same = np.ones(len(size), dtype=bool)  # begins like the row before, so far
+        same[0] = False
+        warm = np.ones(len(size), dtype=bool)  # all words so far are hot
+        first = [names[ids[offsets[0] + k]].as_py() for k in range(size[0])]
+        kept = 0
+        while kept < min(len(first), len(self.words)) and first[kept] == self.words[kept]:
+            kept += 1
+        words, sums = self.words, self.sums
+        for k in range(kept, len(words)):
+            if self.closed(words[: k + 1], sums[k]):
+                out.append((b" ".join(words[: k + 1]), sums[k]))
+        last = [names[ids[offsets[-1] + k]].as_py() for k in range(size[-1])]
+        new_sums = []
+        for k in range(LONGEST):
+            deep = np.flatnonzero(size > k)
+            if not len(deep):
+                break
+            own = np.full(len(size), -1, dtype=np.int64)
+            own[deep] = ids[offsets[deep] + k]
+            same[1:] &= own[1:] == own[:-1]
+            warm &= (own >= 0) & hot[own]
+            start = deep[~same[deep]]  # rows that open a phrase of this depth; rows between that are not so deep end one
+            if not len(start):
+                start = deep[:1]
+            n = np.add.reduceat(np.where(size > k, c, 0), start)
+            if kept > k:
+                n[0] += sums[k]
+            still = len(last) > k
+            if still:
+                new_sums.append(int(n[-1]))
+            done, total = (start[:-1], n[:-1]) if still else (start, n)
+            if k:
+                go = total >= self.least
+                if k + 1 < LONGEST:
+                    go |= warm[done]
+                for i, a in zip(done[go], total[go]):
+                    out.append((b" ".join(names[x].as_py() for x in ids[offsets[i] : offsets[i] + k + 1]), int(a)))
+        self.words, self.sums = last, new_sums
+        return out
+
+    def close(self) -> list[tuple[bytes, int]]:
+        return [(b" ".join(self.words[: k + 1]), n) for k, n in enumerate(self.sums) if self.closed(self.words[: k + 1], n)]
+
+
 def count_phrases(rows: DataFrame, hot: set[tuple[str, bytes]], least: int) -> DataFrame:
     """``(lang, phrase, a)``: phrases of two words and more of at least ``least`` places, words joined by a space.
 
-    Rows come sorted backward, so a phrase's suffixes stand together, the longer before the shorter. The stack holds the
-    words of the open phrases and their counts so far.
+    Rows come sorted backward, so a phrase's suffixes stand together, the longer before the shorter, and each language has
+    a stack of its own.
     """
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
-        out: list[tuple[str, str, int]] = []
-        lang, words, counts = None, [], []
-
-        def close(depth: int) -> None:
-            while len(words) > depth:
-                n = counts.pop()
-                size = len(words)
-                if size > 1 and (n >= least or size < LONGEST and all((lang, w) in hot for w in words)):
-                    out.append((lang, b" ".join(words).decode(), n))
-                words.pop()
-                if counts:
-                    counts[-1] += n
-
+        stacks: dict[str, PrefixStack] = {}
         for batch in batches:
-            for own, suffix, c in zip(batch.column("lang").to_pylist(), batch.column("suffix").to_pylist(), batch.column("c").to_pylist()):
-                new = suffix.split(b"\t")
-                new.pop()
-                if own != lang:
-                    close(0)
-                    lang = own
-                depth, top = 0, min(len(words), len(new))
-                while depth < top and words[depth] == new[depth]:
-                    depth += 1
-                close(depth)
-                words += new[depth:]
-                counts += [0] * (len(new) - depth)
-                counts[-1] += c
-            if len(out) > 20_000:
-                yield _phrases(out)
-                out = []
-        close(0)
-        yield _phrases(out)
-
-    dealt = rows.repartition("lang", "deal").sortWithinPartitions(F.desc("lang"), F.desc("suffix")).select("lang", "suffix", "c")
+            if not batch.num_rows:
+                continue
+            lang = batch.column("lang").dictionary_encode()
+            at, c = lang.indices.to_numpy(zero_copy_only=False), batch.column("c").to_numpy()
+            out = []
+            for i, name in enumerate(lang.dictionary.to_pylist()):
+                if name not in stacks:
+                    stacks[name] = PrefixStack({w for own, w in hot if own == name}, least)
+                own = np.flatnonzero(at == i)
+                out += [(name, p, n) for p, n in stacks[name].push(batch.column("suffix").take(pa.array(own)), c[own])]
+            yield _phrases(out)
+        yield _phrases([(name, p, n) for name, s in stacks.items() for p, n in s.close()])
+
+    dealt = rows.repartition("lang", "deal").sortWithinPartitions(F.desc("suffix")).select("lang", "suffix", "c")
     parts = dealt.mapInArrow(run, "lang string, phrase string, a long")
     return parts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
-def _phrases(out: list[tuple[str, str, int]]) -> pa.RecordBatch:
+def _phrases(out: list[tuple[str, bytes, int]]) -> pa.RecordBatch:
     lang, phrase, a = zip(*out) if out else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(a, pa.int64())], ["lang", "phrase", "a"])
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(a, pa.int64())], ["lang", "phrase", "a"])
 
 
 def _whole(c: Column) -> Column:

@@ -101,3 +101,24 @@ def test_op12_arithmetic_passes_64_bits(spark):
     p = spark.createDataFrame([("en", "a b", big)], "lang string, phrase string, a long")
     w = spark.createDataFrame([("en", b"a", big + 1), ("en", b"b", big + 2)], "lang string, word binary, f long")
     assert [r["score"] for r in co.scored(p, w).collect()] == [2_000_000 * big // (2 * big + 3)]
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 10_000])
+def test_op12_the_stack_counts_all_prefixes_in_batches_of_any_size(step):
+    rng = random.Random(step)
+    suffixes = Counter(tuple(rng.choices([b"a", b"b", b"ab", b"\x01", b"c"], weights=[9, 5, 2, 1, 1], k=rng.randrange(2, 5))) for _ in range(400))
+    rows = sorted(((b"\t".join(s) + b"\t", n) for s, n in suffixes.items()), reverse=True)
+    stack = co.PrefixStack({b"a"}, 25)
+    got = Counter()
+    for i in range(0, len(rows), step):
+        part = rows[i : i + step]
+        for p, n in stack.push(co.pa.array([s for s, _ in part], co.pa.binary()), np.array([n for _, n in part])):
+            got[p] += n
+    for p, n in stack.close():
+        got[p] += n
+    want = Counter()
+    for s, n in suffixes.items():
+        for k in range(2, len(s) + 1):
+            want[b" ".join(s[:k])] += n
+    hot = {b"a a", b"a a a"}
+    assert got == {p: n for p, n in want.items() if n >= 25 or p in hot}
