@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import special as sp
 from lattica.functions import stats as st
-from lattica.operators import clustering, components, diffusion, enrichment, expression, motifs, mutation, network, ontology, paths, random_nets
+from lattica.operators import clustering, components, diffusion, enrichment, expression, modularity, motifs, mutation, network, ontology, paths, random_nets
 from lattica.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,7 +255,26 @@ def _(spark, d):
 
 @query("spectral_split")
 def _(spark, d):
-    return motifs.spectral_split(_net(spark, d)).select("node", "side")
+    return modularity.spectral_split(_net(spark, d)).select("node", "side")
+
+
+@query("spectral_clusters")
+def _(spark, d):
+    return modularity.spectral_clusters(_net(spark, d))
+
+
+@query("tuned_split")
+def _(spark, d):
+    """Brands split by a hash of the part, then tuned."""
+    side = F.when(F.substring(F.md5(F.col("node").cast("string")), 1, 1) < "8", 1).otherwise(-1)
+    return modularity.tuned_split(_net(spark, d), _brands(spark, d).withColumn("side", side))
+
+
+@query("module_discovery")
+def _(spark, d):
+    """Modules among economy parts, against those of a hundred random sets of parts."""
+    found = modularity.module_discovery(_net(spark, d), _economy(spark, d).withColumnRenamed("key", "node"))
+    return rounded(found, "modularity", "p_value", "fdr")
 
 
 @query("grown_components")

@@ -35,6 +35,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and go on from there; then remove the files of ``spent``, earlier results of this function.
+
+    Like ``cut``, but Spark knows the true size of what was written. A checkpoint keeps the size that was guessed for it, and
+    guesses multiply with every join, so loops that join their own results need this. Nothing may be left to be worked out
+    from ``spent``.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "settled")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    for old in spent:
+        remove(old)
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Remove the files of a result of ``settled``, once; anything else is left alone."""
+    path = getattr(df, "_settled_at", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+        df._settled_at = None
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -91,13 +91,6 @@ def test_maximal_cliques_match_brute_force(spark):
     assert sorted(tuple(r["members"]) for r in motifs.maximal_cliques(edges(spark, pairs)).collect()) == want
 
 
-def test_spectral_split_finds_the_bridge(spark):
-    side = {r["node"]: r["side"] for r in motifs.spectral_split(edges(spark, BRIDGED)).collect()}
-    assert side[1] == side[2] == side[3] != side[4] and side[4] == side[5] == side[6]
-    got = dict(rows(motifs.spectral_clusters(edges(spark, BRIDGED))))
-    assert len(set(got.values())) == 2 and got[1] == got[3] != got[4]
-
-
 def test_simple_cycles(spark):
     arcs = edges(spark, [(1, 2), (2, 3), (3, 1), (2, 1), (4, 4), (3, 4)])
     assert sorted(tuple(r["cycle"]) for r in motifs.simple_cycles(arcs, 4).collect()) == [(1, 2), (1, 2, 3), (4,)]
@@ -253,12 +246,6 @@ def test_grown_components_lose_leaves_that_cost(spark):
     assert [r["rank"] for r in motifs.distinct_components(found).orderBy("rank").collect()] == list(range(1, len({frozenset(x) for x in by.values()}) + 1))
 
 
-def test_spectral_clusters_reach_the_modularity_of_an_exact_run(spark):
-    three = [(a + 10 * g, b + 10 * g) for g in range(3) for a, b in itertools.combinations(range(5), 2)] + [(0, 10), (10, 20)]
-    got = dict(rows(motifs.spectral_clusters(edges(spark, three), rounds=16)))
-    assert len(set(got.values())) == 3 and all(len({got[a + 10 * g] for a in range(5)}) == 1 for g in range(3))
-
-
 def test_keep_degrees_adds_no_edges(spark):
     random.seed(8)
     pairs = sorted({tuple(sorted((random.randint(0, 60), random.randint(0, 60)))) for _ in range(300)})
