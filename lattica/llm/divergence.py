@@ -35,7 +35,7 @@ TOP = 10
 MOST_POSTINGS = 64
 #: Groups and (about) terms on the sides of a dense tile.
 SIDE, TALL = 64, 512
-RUN_BYTES = 16 << 20
+RUN_BYTES = 4 << 20
 
 _DOC = b"\xff"  # a byte that no text in UTF-8 has
 _OTHER = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122))
