@@ -28,6 +28,12 @@ def training_sample(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows).groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
+def both_classes(rows: DataFrame, least: int = 5) -> bool:
+    """Whether ``rows(y)`` hold at least ``least`` of either class, enough to calibrate a score on."""
+    found = rows.agg(F.count(F.when(F.col("y") == 1, 1)).alias("ones"), F.count(F.when(F.col("y") == 0, 1)).alias("zeros")).first()
+    return min(found["ones"], found["zeros"]) >= least
+
+
 def stream_groups(batches: Iterator[pd.DataFrame], keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Apply ``fn`` to each run of equal ``keys`` in rows that come sorted by them; only one group is held at a time."""
     held: list[pd.DataFrame] = []

@@ -6,7 +6,7 @@ chain's forward-backward marginals, weighted by line length, add up to the docum
 turns into a probability.
 
 Fitted on at most ``max_rows`` labelled rows outside the held-out fold (documented bounds: 6,000, and 400,000 lines), each line carrying its
-document's label; two thirds fit the field, the rest the curve. Every document is scored whole.
+document's label; two thirds fit the field, the rest the curve (all of them, where the rest has fewer than five rows of a class). Every document is scored whole.
 
 Defined results: a null or empty text is one empty line; a null doc_id is scored and counts as held out; repeated rows
 are scored one by one; extra columns are ignored; without labels every score is 0.5 or above the cut-off.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fit_logistic, held_out, map_texts, portions, sigmoid, training_sample
+from lattica.llm.common import both_classes, fit_logistic, held_out, map_texts, portions, sigmoid, training_sample
 from lattica.session import cut, table
 
 PREDICT_AT = 0.3
@@ -200,7 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_lines: in
             q = document_quality(batch["text"].tolist(), field)
             yield pd.DataFrame({"y": batch["y"].to_numpy(), "mean": q[:, 0], "clear": q[:, 1]})
 
-    rest = rows.where("part = 0").mapInPandas(qualities, "y int, mean double, clear double").toPandas()
+    apart = rows.where("part = 0")
+    calibrating = apart if both_classes(apart) else rows  # too few rows for a part of their own: all of them, which hold both classes
+    rest = calibrating.mapInPandas(qualities, "y int, mean double, clear double").toPandas()
     field.curve = fit_logistic(rest[["mean", "clear"]].to_numpy(), rest["y"].to_numpy(), l2=1e-4)
     return field
 

@@ -18,8 +18,8 @@ lexicon, the rest the calibration. Of several texts under one doc_id the smalles
 cover every document.
 
 Defined results: a null text is an empty one and scores as a document without segments; rows with a null doc_id are
-scored and count as held out; repeated rows are scored one by one; extra columns are ignored; without labels the score
-is 0.5 or less for all.
+scored and count as held out; repeated rows are scored one by one; extra columns are ignored; without labels of both
+classes the score is under 0.5 for all. Where the third to calibrate on has fewer than five rows of a class, all rows serve.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fit_logistic, held_out, map_texts, portions, sigmoid, training_sample
+from lattica.llm.common import both_classes, fit_logistic, held_out, map_texts, portions, sigmoid, training_sample
 from lattica.session import cut, table
 
 LONG, STEP = 24, 16
@@ -275,11 +275,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_toxic: i
     good = weight >= min_log_odds
     model.weights = dict(zip(found["feature"][good], np.minimum(weight[good], 8.0).tolist()))
     _extreme_value_terms(model, dict(zip(found["feature"][good], (m[good] / n_c).tolist())))
-    held = cut(_segment_scores(rows.where("part = 0"), model))
+    apart = rows.where("part = 0")
+    held = cut(_segment_scores(apart if both_classes(apart) else rows, model))  # too few rows for a part of their own: all of them
     clean = held.where("y = 0").agg(F.sum("n"), F.sum(F.size("scores"))).first()
     floor = min(model.weights.values(), default=1.0)
     model.k = float(((clean[1] or 0) + 1) / (max(1, clean[0] or 0) * math.exp(-model.lam * floor)))
     shown = _evidence(held, model).toPandas()
+    if shown["y"].nunique() < 2:
+        return model  # one class only says nothing of the other: the curve that rejects no document stays
     model.curve = fit_logistic(shown[["best", "excess"]].to_numpy(), shown["y"].to_numpy()).tolist()
     return model
 

@@ -161,7 +161,7 @@ def test_op7_matches_a_plain_reading_of_its_rules(spark):
 def test_op3_gives_each_query_all_its_rows(spark, monkeypatch):
     """Leaves of a few rows and one visit by calibration: queries go on until they hold enough vec_ids."""
     fit = ann.fit_tree
-    monkeypatch.setattr(ann, "fit_tree", lambda x: fit(x, leaf_rows=3))
+    monkeypatch.setattr(ann, "fit_tree", lambda x, **_: fit(x, leaf_rows=3))
     monkeypatch.setattr(ann, "calibrate", lambda *_: 1)
     x = np.random.default_rng(8).normal(size=(300, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
