@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.components import connected_components
-from lattica.session import cut
+from lattica.operators.ranking import numbered
+from lattica.session import cut, settled
 
 
 def spanning_forest(pairs: DataFrame) -> DataFrame:
@@ -72,6 +73,66 @@ def cut_tree(merges: DataFrame, height: float) -> DataFrame:
     return connected_components(low).withColumnRenamed("component", "cluster")
 
 
+def tree_order(merges: DataFrame) -> DataFrame:
+    """``(node, merge, root, leaf, size, depth, depth_first, breadth_first)``: every node of the trees that ``merges`` make.
+
+    ``merges(merged, left, right, round)`` names a merge by its left part; ``merge`` counts the merges of a name, 0 for the
+    leaf. ``depth_first`` numbers a tree's nodes from 1, a node before its left part before its right; ``breadth_first`` level
+    by level in the same order; ``size`` counts leaves. Depths and numbers are sums along the way to the root, found by
+    doubling: each round joins every node with the one twice as far up, so a tree of any depth takes rounds by its
+    logarithm.
+    """
+    own = settled(merges.select(F.col("merged").alias("name"), "right", "round"))
+    placed = settled(numbered(own, ["name"], [F.col("round")], "k"))
+    last = placed.groupBy(F.col("name").alias("right")).agg(F.max("k").alias("rk"))
+    inner = placed.join(last, "right", "left").select("name", "k", "right", F.coalesce("rk", F.lit(0)).cast("long").alias("rk"))
+    inner = settled(inner)
+    left = inner.select("name", (F.col("k") - 1).alias("k"), F.col("name").alias("pname"), F.col("k").alias("pk"), F.lit(0).alias("side"))
+    right = inner.select(F.col("right").alias("name"), F.col("rk").alias("k"), F.col("name").alias("pname"), F.col("k").alias("pk"), F.lit(1).alias("side"))
+    below = settled(left.union(right))
+    roots = inner.select("name", "k").join(below.select("name", "k"), ["name", "k"], "left_anti")
+    # Up by doubling: how far each node has come, and what it has summed on the way.
+    up = settled(below.select("name", "k", F.col("pname").alias("at"), F.col("pk").alias("at_k"), F.lit(1).cast("long").alias("depth")).union(roots.select("name", "k", F.col("name").alias("at"), F.col("k").alias("at_k"), F.lit(0).cast("long"))))
+    up = _doubled(up, ["depth"])
+    sizes = _leaf_counts(below)
+    # A right part comes after all nodes of its left sister: as many as twice its leaves less one.
+    sister = below.where("side = 0").join(sizes, ["name", "k"]).select("pname", "pk", (2 * F.col("size") - 1).alias("before"))
+    step = below.join(sister, ["pname", "pk"]).select("name", "k", F.col("pname").alias("at"), F.col("pk").alias("at_k"), (1 + F.when(F.col("side") == 1, F.col("before")).otherwise(0)).alias("place"))
+    place = _doubled(settled(step.union(roots.select("name", "k", F.col("name").alias("at"), F.col("k").alias("at_k"), F.lit(0).cast("long")))), ["place"])
+    known = up.select("name", "k", F.col("at").alias("root"), F.col("at_k").alias("root_k"), "depth").join(place.select("name", "k", "place"), ["name", "k"]).join(sizes, ["name", "k"])
+    known = numbered(settled(known), ["root", "root_k"], [F.col("depth"), F.col("place")], "breadth_first")
+    return known.select(F.col("name").alias("node"), F.col("k").alias("merge"), "root", (F.col("k") == 0).alias("leaf"), "size", "depth", (F.col("place") + 1).alias("depth_first"), "breadth_first")
+
+
+def _doubled(up: DataFrame, sums: list[str]) -> DataFrame:
+    """``(name, k, at, at_k, sums)`` with ``at`` moved on to the root and the sums of the whole way."""
+    while True:
+        ahead = up.select(F.col("name").alias("at"), F.col("k").alias("at_k"), F.col("at").alias("far"), F.col("at_k").alias("far_k"), *[F.col(c).alias(f"{c}_ahead") for c in sums])
+        new = settled(up.join(ahead, ["at", "at_k"]).select("name", "k", F.col("far").alias("at"), F.col("far_k").alias("at_k"), *[(F.col(c) + F.col(f"{c}_ahead")).alias(c) for c in sums], ((F.col("at") != F.col("far")) | (F.col("at_k") != F.col("far_k"))).alias("moved")))
+        moved = not new.where("moved").isEmpty()
+        up = settled(new.drop("moved"), up, new)
+        if not moved:
+            return up
+
+
+def _leaf_counts(below: DataFrame) -> DataFrame:
+    """``(name, k, size)``: leaves under every node, again by doubling.
+
+    After i rounds a node has counted the leaves fewer than 2^i steps below it; the others are under its descendants 2^i
+    steps below, each by one of them.
+    """
+    parent = below.select("name", "k", "pname", "pk")
+    nodes = parent.select("name", "k").union(parent.select(F.col("pname"), F.col("pk"))).distinct()
+    value = settled(nodes.select("name", "k", (F.col("k") == 0).cast("long").alias("size")))
+    jump = settled(parent)
+    while not jump.isEmpty():
+        sent = value.join(jump, ["name", "k"]).groupBy(F.col("pname").alias("name"), F.col("pk").alias("k")).agg(F.sum("size").alias("more"))
+        value = settled(value.join(sent, ["name", "k"], "left").select("name", "k", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), value)
+        on = jump.select(F.col("name").alias("pname"), F.col("k").alias("pk"), F.col("pname").alias("far"), F.col("pk").alias("far_k"))
+        jump = settled(jump.join(on, ["pname", "pk"]).select("name", "k", F.col("far").alias("pname"), F.col("far_k").alias("pk")), jump)
+    return value
+
+
 def tf_idf(tokens: DataFrame) -> DataFrame:
     """``(doc, term, weight)`` from ``(doc, term, n)``: share of the document's tokens times log10 of documents over those with the term."""
     counts = cut(tokens.groupBy("doc", "term").agg(F.sum("n").alias("n")))
@@ -154,3 +215,83 @@ class SelfOrganisingMap:
                 box = g[max(0, x - 1) : x + 2, max(0, y - 1) : y + 2].reshape(-1, g.shape[2])
                 out[x, y] = np.sqrt(((box - g[x, y]) ** 2).sum(axis=1)).sum() / (len(box) - 1)
         return out
+
+
+class SetMap:
+    """A square grid whose nodes hold sets, trained in rounds over rows of sets.
+
+    A node is as similar to a set as the mean, over the sets it holds, of the share of the smaller of the two that both
+    have. That sum goes item by item: for an item and a set of ``s`` items, a held set of ``t`` items that has it counts 1 over the smaller of
+    ``s`` and ``t``. So a node is held as counts by item and size, and matching is one join on items: no two sets are compared.
+    After each round a node holds the sets that were matched to the nodes within a square that shrinks to itself.
+    """
+
+    def __init__(self, side: int = 24, rounds: int = 5, width: int = 8, digits: int = 9):
+        self.side, self.rounds, self.width, self.digits = side, rounds, width, digits
+        self.held: DataFrame | None = None
+
+    def fit(self, sets: DataFrame) -> SetMap:
+        """``sets(id, item)``. At first each node holds one random set of the mean number of items."""
+        own = settled(sets.select("id", "item").distinct())
+        facts = own.agg(F.count_distinct("id").alias("rows"), F.count_distinct("item").alias("items")).first()
+        if not facts["rows"]:
+            return self
+        size = max(1, facts["items"] // facts["rows"])
+        self.held = self._first(own, size)
+        for step in range(self.rounds):
+            width = int(self.width * (1 - (step + 1) / self.rounds))
+            matched = settled(self._matched(own))
+            near = matched.withColumn("n", F.explode(self._box(F.col("node"), width))).select(F.col("n").alias("node"), "id")
+            self.held, old = settled(self._counts(near, own)), self.held
+        return self
+
+    def _first(self, own: DataFrame, size: int) -> DataFrame:
+        """Items of each node: those of the ``size`` smallest hashes, of the items within a bound on the hash that leaves enough."""
+        items = own.select("item").distinct()
+        total = items.count()
+        drawn = items.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(self.side * self.side - 1)))).withColumn("h", F.md5(F.concat_ws(":", "node", "item")))
+        bound = min(1.0, (2 * size + 32) / total)
+        near = drawn.where(F.conv(F.substring("h", 1, 12), 16, 10).cast("double") <= bound * 2.0**48)
+        taken = numbered(near, ["node"], [F.col("h"), F.col("item")]).where(F.col("rank") <= size)
+        keyed = settled(taken.select("node", F.col("node").alias("id"), "item"))
+        return settled(self._counts(keyed.select("node", "id").distinct(), keyed.select("id", "item")))
+
+    def _box(self, node, width: int):
+        x, y = F.floor(node / self.side), node % self.side
+        low = lambda c: F.greatest(c - width, F.lit(0)).cast("int")
+        high = lambda c: F.least(c + width, F.lit(self.side - 1)).cast("int")
+        return F.flatten(F.transform(F.sequence(low(x), high(x)), lambda a: F.transform(F.sequence(low(y), high(y)), lambda b: (a * self.side + b).cast("int"))))
+
+    @staticmethod
+    def _counts(near: DataFrame, own: DataFrame) -> DataFrame:
+        """``(node, item, size, n, sets)``: how many of the node's ``sets`` sets have the item, by their sizes."""
+        sizes = own.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
+        sets = near.groupBy("node").agg(F.count(F.lit(1)).alias("sets"))
+        by = near.join(sizes, "id").join(own, "id").groupBy("node", "item", "size").agg(F.count(F.lit(1)).alias("n"))
+        return by.join(sets, "node")
+
+    def _matched(self, own: DataFrame) -> DataFrame:
+        """``(id, node, similarity)``: the most similar node, the first of equal ones; a set like none goes to the first node that holds nothing, or to the first."""
+        sizes = own.groupBy("id").agg(F.count(F.lit(1)).alias("s"))
+        met = own.join(self.held.withColumnRenamed("size", "t"), "item").join(sizes, "id")
+        near = met.groupBy("id", "node").agg(F.round(F.sum(F.col("n") / F.least("s", "t")) / F.first("sets"), self.digits).alias("similarity"))
+        best = near.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("node")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("node"), "b.similarity")
+        grid = own.sparkSession.range(self.side * self.side).select(F.col("id").cast("int").alias("node"))
+        empty = grid.join(self.held.select("node").distinct(), "node", "left_anti").agg(F.coalesce(F.min("node"), F.lit(0)).alias("spare"))
+        out = sizes.join(best, "id", "left").crossJoin(F.broadcast(empty))
+        return out.select("id", F.coalesce("node", "spare").cast("int").alias("node"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+    def assign(self, sets: DataFrame) -> DataFrame:
+        """``(id, x, y, similarity)``: the node of each set."""
+        own = settled(sets.select("id", "item").distinct())
+        if self.held is None:
+            return own.select("id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0.0).alias("similarity")).limit(0)
+        return self._matched(own).select("id", F.floor(F.col("node") / self.side).cast("int").alias("x"), (F.col("node") % self.side).alias("y"), "similarity")
+
+    def medians(self, sets: DataFrame) -> DataFrame:
+        """``(x, y, id, size)``: of the sets matched to each node, the one in the middle by size, then by id."""
+        own = settled(sets.select("id", "item").distinct())
+        at = self.assign(own).join(own.groupBy("id").agg(F.count(F.lit(1)).alias("size")), "id")
+        placed = settled(numbered(settled(at), ["x", "y"], [F.col("size"), F.col("id")]))
+        count = placed.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+        return placed.join(count, ["x", "y"]).where(F.col("rank") == F.floor(F.col("n") / 2) + 1).select("x", "y", "id", "size")

@@ -1,12 +1,16 @@
-"""Breadth-first distances and shortest paths from many sources at once, by frontier joins."""
+"""Distances and shortest paths from many sources at once, by frontier joins: breadth first, by weights, by ranked edges, and from both ends."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.network import symmetric
-from lattica.session import cut
+from lattica.operators.network import clustering_coefficient, degrees, symmetric, vertices
+from lattica.operators.random_nets import random_graph, random_pairs
+from lattica.operators.ranking import numbered
+from lattica.session import cut, remove, settled
 
 
 def distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, targets: DataFrame | None = None) -> DataFrame:
@@ -74,3 +78,175 @@ def set_distance(edges: DataFrame, first: DataFrame, second: DataFrame) -> DataF
     by_target = d.groupBy("node").agg(F.min("distance").alias("m"))
     least = by_source.select("m").union(by_target.select("m")).agg(F.avg("m").alias("mean_min_distance"))
     return least.crossJoin(d.agg(F.avg("distance").alias("mean_distance"), F.count(F.lit(1)).alias("pairs")))
+
+
+def _weighted(edges: DataFrame) -> DataFrame:
+    """Both directions of ``(src, dst, weight)``, the least weight of repeated edges; null ends and self-loops are left out."""
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    e = e.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    both = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("neighbour")), F.struct(F.col("dst").alias("node"), F.col("src").alias("neighbour"))))
+    return e.select(both.alias("e"), "weight").select("e.node", "e.neighbour", "weight")
+
+
+def weighted_distances(edges: DataFrame, sources: DataFrame, width: float | None = None, farthest: float | None = None) -> DataFrame:
+    """``(source, node, distance)``: the least sum of ``edges(src, dst, weight)`` weights from each of ``sources(node)``.
+
+    Distances are settled bucket by bucket of ``width``, by default the mean weight. Within a bucket light edges, of at most
+    that width, are relaxed until nothing changes, then the heavy ones once from all that the bucket settled: every edge of
+    a node is relaxed from its final distance, and nodes beyond the bucket wait. Only rows that wait are written again; what
+    a bucket settled stays as it was written. Weights must be positive; a null one is an error as well. ``farthest`` stops
+    the search at that distance.
+    """
+    both = settled(_weighted(edges))
+    facts = both.agg(F.count_if(F.coalesce(F.col("weight") <= 0, F.lit(True))).alias("bad"), F.avg("weight").alias("mean")).first()
+    if facts["bad"]:
+        raise ValueError("weights must be positive")
+    width = width or facts["mean"] or 1.0
+    light, heavy = both.where(F.col("weight") <= width), both.where(F.col("weight") > width)
+    start = _within(sources, both)
+    waiting = settled(start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance")))
+    done: list[DataFrame] = []
+
+    def beyond(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        step = rows.join(edges, "node").select("source", F.col("neighbour").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"))
+        return step if farthest is None else step.where(F.col("distance") <= farthest)
+
+    least = lambda df: df.groupBy("source", "node").agg(F.min("distance").alias("distance"))
+    while True:
+        low = waiting.agg(F.min("distance").alias("d")).first()["d"]
+        if low is None:
+            break
+        end = (low // width + 1) * width
+        bucket = settled(waiting.where(F.col("distance") < end))
+        later = [waiting.where(F.col("distance") >= end)]
+        parts, fresh = [bucket], bucket
+        while not fresh.isEmpty():  # nodes whose distance in the bucket fell
+            reached = settled(least(beyond(fresh, light)))
+            later.append(reached.where(F.col("distance") >= end))
+            near = reached.where(F.col("distance") < end)
+            if done:  # a light edge leads back to the bucket before, but no further
+                near = near.join(done[-1].select("source", "node"), ["source", "node"], "left_anti")
+            old = least(_union(parts)).withColumnRenamed("distance", "known")
+            fresh = settled(near.join(old, ["source", "node"], "left").where("known is null or distance < known").select("source", "node", "distance"))
+            parts.append(fresh)
+        bucket = settled(least(_union(parts)), *parts) if len(parts) > 2 else bucket
+        done.append(bucket)
+        ahead = least(reduce(DataFrame.union, [*later, beyond(bucket, heavy)]))
+        reached_before = _union([x.select("source", "node") for x in done])  # never nearer by a later bucket
+        waiting = settled(ahead.join(reached_before, ["source", "node"], "left_anti"))
+    return _union(done) if done else start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"))
+
+
+def ranked_search(edges: DataFrame, sources: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``(source, node, parent, level, place)``: breadth-first trees whose queues take edges in order of rank.
+
+    ``ranks(node, neighbour, rank)`` orders the edges out of a node, ties by neighbour. A queue reaches a node first from the
+    node that stands first in the level before, so that is its parent; among the children of all parents the order of a
+    level is that of the parents, then of the ranks. ``place`` numbers a level's nodes from 1 in that order.
+    """
+    ordered = settled(symmetric(edges).join(ranks.select("node", "neighbour", "rank"), ["node", "neighbour"], "left"))
+    type_ = dict(ordered.dtypes)["node"]
+    start = _within(sources, ordered)
+    levels = [settled(start.select("source", F.col("source").alias("node"), F.lit(None).cast(type_).alias("parent"), F.lit(0).alias("level"), F.lit(1).cast("long").alias("place")))]
+    while True:
+        step = levels[-1].select("source", "node", "place").join(ordered, "node")
+        first = F.min(F.struct(F.col("place").alias("at"), F.coalesce("rank", F.lit(float("inf"))).alias("rank"), F.col("node").alias("parent"))).alias("f")
+        best = step.groupBy("source", F.col("neighbour").alias("node")).agg(first)
+        fresh = best.join(_union([x.select("source", "node") for x in levels[-2:]]), ["source", "node"], "left_anti").select("source", "node", "f.*")
+        fresh = settled(fresh)
+        if fresh.isEmpty():
+            remove(fresh)
+            return _union(levels)
+        placed = numbered(fresh, ["source"], [F.col("at"), F.col("rank"), F.col("node")], "place")
+        levels.append(settled(placed.select("source", "node", "parent", F.lit(len(levels)).alias("level"), "place"), fresh))
+
+
+def edge_ranks(edges: DataFrame, members: DataFrame, curated: DataFrame, scores: DataFrame) -> DataFrame:
+    """``(node, neighbour, rank)``: the order in which a node's edges are taken, from 1.
+
+    Neighbours of lower degree go first; then curated edges ``(src, dst)``; then members ``(node)``; then those of larger
+    absolute score ``(node, score)``, scored ones before others; then the smaller id.
+    """
+    of = symmetric(edges).join(degrees(edges).select(F.col("node").alias("neighbour"), "degree"), "neighbour")
+    of = of.join(symmetric(curated).distinct().withColumn("is_curated", F.lit(1)), ["node", "neighbour"], "left")
+    of = of.join(members.select(F.col("node").alias("neighbour")).distinct().withColumn("is_member", F.lit(1)), "neighbour", "left")
+    of = of.join(scores.groupBy(F.col("node").alias("neighbour")).agg(F.max(F.abs("score")).alias("size")), "neighbour", "left")
+    order = [F.col("degree"), F.coalesce("is_curated", F.lit(0)).desc(), F.coalesce("is_member", F.lit(0)).desc(), F.col("size").desc_nulls_last(), F.col("neighbour")]
+    return numbered(of, ["node"], order).select("node", "neighbour", F.col("rank").cast("double").alias("rank"))
+
+
+def tree_paths(trees: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(source, node, path)``: the paths of ``ranked_search`` trees to ``targets(node)``, walked back level by level."""
+    deepest = trees.join(targets.select("node").distinct(), "node", "left_semi")
+    walk = settled(deepest.select("source", "node", F.col("node").alias("at"), F.array("node").alias("path"), "parent"))
+    out = []
+    while True:
+        out.append(walk.where("parent is null").select("source", "node", "path"))
+        on = walk.where("parent is not null")
+        if on.isEmpty():
+            return _union(out)
+        up = trees.select("source", F.col("node").alias("parent"), F.col("parent").alias("above"))
+        walk = settled(on.join(up, ["source", "parent"]).select("source", "node", F.col("parent").alias("at"), F.array_prepend("path", F.col("parent")).alias("path"), F.col("above").alias("parent")))
+
+
+def spanning_paths(edges: DataFrame, members: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``(src, dst)``: the edges of the ranked paths from the smallest member of the network to every member it reaches."""
+    own = members.select("node").distinct().join(vertices(edges), "node", "left_semi")
+    trees = settled(ranked_search(edges, own.agg(F.min("node").alias("node")).where("node is not null"), ranks))
+    return path_edges(tree_paths(trees, own)).select("src", "dst").distinct()
+
+
+def pair_distances(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(net, src, dst, distance)`` for named pairs ``(net, src, dst)`` of keyed networks ``(net, src, dst)``; null if they are not connected.
+
+    Both ends are searched, a level each in turn, until their fronts meet; so a search goes half as deep as from one end. A
+    pair leaves when it has met, or when a front is empty.
+    """
+    e = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("neighbour")), F.struct(F.col("dst").alias("node"), F.col("src").alias("neighbour"))))
+    both = settled(edges.select("net", e.alias("e")).select("net", "e.*").distinct())
+    key = ["net", "a", "b"]
+    named = settled(pairs.select("net", F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    met = [named.where("a = b").select(*key, F.lit(0).alias("distance"))]
+    apart = named.where("a <> b")
+    sides = {s: [settled(apart.select(*key, F.col(s).alias("node")))] for s in ("a", "b")}
+    active, depth = settled(apart), 0
+    while not active.isEmpty():
+        s = "ab"[depth % 2]
+        other = sides["ab"[1 - depth % 2]][-1]
+        front = sides[s][-1].join(active, key, "left_semi").join(both, ["net", "node"]).select(*key, F.col("neighbour").alias("node")).distinct()
+        front = settled(front.join(_union(sides[s][-2:]), [*key, "node"], "left_anti"))
+        sides[s].append(front)
+        depth += 1
+        found = settled(front.join(other, [*key, "node"], "left_semi").select(*key).distinct())
+        met.append(found.withColumn("distance", F.lit(depth)))
+        active = settled(active.join(found, key, "left_anti").join(front.select(*key).distinct(), key, "left_semi"), active)
+    return named.join(_union(met), key, "left").select("net", F.col("a").alias("src"), F.col("b").alias("dst"), "distance")
+
+
+def path_length_histogram(edges: DataFrame, n: int, seed: str = "pairs") -> DataFrame:
+    """``(distance, pairs)``: how long shortest paths between ``n`` distinct random pairs of nodes are; null for pairs apart."""
+    pairs = random_pairs(vertices(edges), n, seed=seed)
+    net = lambda df: df.select(F.lit(0).alias("net"), "src", "dst")
+    return pair_distances(net(edges), net(pairs)).groupBy("distance").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def random_networks(edges: DataFrame, networks: int, seed: str = "net") -> DataFrame:
+    """``(net, src, dst)``: networks of as many random edges among the same nodes, numbered from 0."""
+    own = settled(vertices(edges))
+    m = edges.count()
+    return _union([random_graph(own, m, f"{seed}{i}").select(F.lit(i).alias("net"), "src", "dst") for i in range(networks)])
+
+
+def random_path_lengths(edges: DataFrame, networks: int = 6, n: int = 1000, seed: str = "net") -> DataFrame:
+    """``(net, distance, pairs)``: path lengths of ``n`` random pairs in each of several random networks, all searched in one job."""
+    nets = settled(random_networks(edges, networks, seed))
+    own = settled(vertices(edges))
+    pairs = _union([random_pairs(own, n, seed=f"{seed}p{i}").select(F.lit(i).alias("net"), "src", "dst") for i in range(networks)])
+    return pair_distances(nets, pairs).groupBy("net", "distance").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def random_cliqueness(edges: DataFrame, networks: int = 10, seed: str = "net") -> DataFrame:
+    """``(net, cliqueness)``: mean clustering coefficient of each of several random networks, over its linked nodes."""
+    nets = settled(random_networks(edges, networks, seed))
+    keyed = nets.select(F.struct("net", F.col("src").alias("id")).alias("src"), F.struct("net", F.col("dst").alias("id")).alias("dst"))
+    return clustering_coefficient(keyed).groupBy("node.net").agg(F.avg("cliqueness").alias("cliqueness"))

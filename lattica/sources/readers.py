@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.operators.ranking import running_sums
+from lattica.session import cut
+
 # Ids of the three root terms of the gene ontology.
 ONTOLOGY_ROOTS = ["GO:0003674", "GO:0008150", "GO:0005575"]
 
@@ -219,6 +222,18 @@ def gene_disease(spark: SparkSession, path: str) -> DataFrame:
     return s.select("gene", F.col("s.DiseaseData.NCIDiseaseConceptCode").alias("disease")).where("disease is not null").distinct()
 
 
+def gene_sentences(spark: SparkSession, entries: DataFrame, gene: str, status: str = "finished") -> DataFrame:
+    """``(gene, disease, code, statement)``: the sentences of one gene, by a statement with named arguments over the entries.
+
+    ``entries`` are rows of a gene-disease file as ``xml_entries`` gives them. Arguments are values, never text of the statement.
+    """
+    text = """
+        SELECT HUGOGeneSymbol AS gene, s.DiseaseData.MatchedDiseaseTerm AS disease, s.DiseaseData.NCIDiseaseConceptCode AS code, s.Statement AS statement
+        FROM {entries} LATERAL VIEW explode(Sentence) AS s
+        WHERE HUGOGeneSymbol = :gene AND lower(s.SentenceStatusFlag) = lower(:status)"""
+    return spark.sql(text, args={"gene": gene, "status": status}, entries=entries)
+
+
 def path_report(spark: SparkSession, path: str) -> DataFrame:
     """``(pair, edges)`` of a report in which a line ``a->b:`` is followed by ``[e1, e2]`` or ``null``."""
     w = Window.partitionBy("file").orderBy("at")
@@ -238,6 +253,26 @@ def dendrogram(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(held, "at", "left")
 
 
+def map_nodes(spark: SparkSession, path: str, header: str = "SOM results:") -> DataFrame:
+    """``(x, y, distance, labels, vector)`` of map files: after the header line, records of lines ``location:``, ``index:``, ``label:`` and ``vector:``.
+
+    A record is what follows its location up to the next. Lines are put in the order of their file, and blocks are counted
+    by running sums over range parts, so a record may lie across splits of a file.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block_start"), F.monotonically_increasing_id().alias("line"), "value")
+    order = [F.col("block_start"), F.col("line")]
+    is_header, is_first = F.startswith("value", F.lit(header)), F.startswith("value", F.lit("location:"))
+    counted = running_sums(cut(rows), ["file"], order, headers=is_header.cast("long"), record=is_first.cast("long"))
+    inside = counted.where("headers > 0 and record > 0")
+    part = lambda name: F.max(F.when(F.startswith("value", F.lit(name)), F.substring_index("value", name, -1)))
+    found = inside.groupBy("file", "record").agg(part("location:").alias("location"), part("index:").alias("distance"), part("label:").alias("labels"), part("vector:").alias("vector")).where("location is not null")
+    place = F.split("location", r",\s*")
+    numbers = F.transform(F.filter(F.split("vector", ","), lambda v: F.trim(v) != ""), lambda v: v.cast("double"))
+    labels = F.when(F.col("labels").isNull(), F.array().cast("array<string>")).otherwise(F.split("labels", ", "))
+    return found.select(place[0].cast("int").alias("x"), place[1].cast("int").alias("y"), F.col("distance").cast("double").alias("distance"), labels.alias("labels"), numbers.alias("vector"))
+
+
 def base64_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, encoded)``: whole files in URL-safe base 64."""
     return spark.read.format("binaryFile").load(path).select("path", F.translate(F.base64("content"), "+/", "-_").alias("encoded"))

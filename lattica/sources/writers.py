@@ -65,6 +65,28 @@ def write_sif_by_cluster(inner: DataFrame, path: str, relation: str = "FI") -> N
     inner.select("cluster", line.alias("value")).write.mode("overwrite").partitionBy("cluster").text(path)
 
 
+def write_map_nodes(nodes: DataFrame, path: str, header: str = "SOM results:") -> None:
+    """One file of a map's ``(x, y, distance, labels, vector)``, a node of a grid of fixed size each: a header, then a record of lines a node."""
+    labels = F.when(F.size("labels") > 0, F.concat(F.lit("label:"), F.array_join("labels", ", ")))
+    vector = F.concat(F.lit("vector:"), F.array_join(F.transform("vector", lambda v: F.concat(v.cast("string"), F.lit(","))), ""))
+    record = F.concat_ws("\n", F.concat(F.lit("location:"), F.col("x").cast("string"), F.lit(", "), F.col("y").cast("string")), F.concat(F.lit("index:"), F.col("distance").cast("string")), labels, vector)
+    head = nodes.sparkSession.range(1).select(F.lit(0).alias("o"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(header).alias("value"))
+    rows = head.union(nodes.select(F.lit(1).alias("o"), "x", "y", record.alias("value")))
+    rows.coalesce(1).sortWithinPartitions("o", "x", "y").select("value").write.mode("overwrite").text(path)
+
+
+def write_components(modules: DataFrame, path: str, least: int = 4) -> None:
+    """One folder of members, ``component=name``, for each component of at least ``least`` members."""
+    large = modules.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("component")
+    modules.join(large, "component").select("component", F.col("node").cast("string").alias("value")).write.mode("overwrite").partitionBy("component").text(path)
+
+
+def write_gene_scores(table: DataFrame, path: str) -> None:
+    """Lines of the first and the last column."""
+    first, last = table.columns[0], table.columns[-1]
+    table.select(F.concat_ws(" ", F.col(f"`{first}`").cast("string"), F.col(f"`{last}`").cast("string"))).write.mode("overwrite").text(path)
+
+
 def write_dense(cells: DataFrame, path: str) -> None:
     """Rows of ``(i, j, value)`` as tab-parted lines in order."""
     rows = cells.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("c"))
