@@ -5,36 +5,63 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.components import connected_components
 from lattica.operators.network import degrees, symmetric
 from lattica.operators.ranking import numbered, running_sums
-from lattica.session import cut
+from lattica.session import cut, settled
 
 
-def approximate_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, epsilon: float = 1e-4, max_rounds: int = 20_000) -> DataFrame:
-    """``(seed, node, p, residue)`` by pushes in rounds: every node whose residue per edge is ``epsilon`` or more is pushed at once.
+def approximate_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, epsilon: float = 1e-4, most_links: int = 50_000_000) -> DataFrame:
+    """``(seed, node, p, residue)`` by pushes: as long as a node's residue per edge is ``epsilon`` or more, it is pushed.
 
-    A push moves alpha of the residue to p, keeps half of the rest and spreads the other half over the neighbours. It
-    stops when no node is active, so residues obey the same bound as those of one-by-one pushes; not to be there after
-    ``max_rounds`` is an error.
+    A push moves alpha of the residue to p, keeps half of the rest and spreads the other half over the neighbours. Each push
+    takes at least alpha * epsilon for every edge of its node from a residue that starts at 1, so a seed never touches more
+    than 1 / (alpha * epsilon) links, whatever the network's size. A seed's pushes run inside one task, on the links that it
+    has; when only nodes are left to push whose links it has not, one join fetches those for all seeds. So jobs are as many
+    as the reach of the pushes in steps, not as many as rounds of pushes. A seed of more than ``most_links`` links is an error.
     """
-    deg = cut(degrees(edges))
-    both = cut(symmetric(edges).join(deg, "node"))
-    state = seeds.select(F.col("node").alias("seed"), "node").join(deg.select("node"), "node", "left_semi").select("seed", "node", F.lit(0.0).alias("p"), F.lit(1.0).alias("r"))
-    for i in range(max_rounds):
-        now = state.join(deg, "node").select("seed", "node", "p", "r", "degree", (F.col("r") / F.col("degree") >= epsilon).alias("active"))
-        if i % 2 == 0:
-            now = cut(now)
-            if i % 4 == 0 and now.where("active").isEmpty():  # a round without active nodes changes nothing
-                return state.select("seed", "node", "p", F.col("r").alias("residue"))
-        kept = now.select("seed", "node", F.when(F.col("active"), F.col("p") + alpha * F.col("r")).otherwise(F.col("p")).alias("p"), F.when(F.col("active"), (1 - alpha) * F.col("r") / 2).otherwise(F.col("r")).alias("r"))
-        sent = now.where("active").select("seed", "node", ((1 - alpha) * F.col("r") / (2 * F.col("degree"))).alias("s")).join(both.select("node", "neighbour"), "node")
-        sent = sent.select("seed", F.col("neighbour").alias("node"), F.lit(0.0).alias("p"), F.col("s").alias("r"))
-        state = kept.union(sent).groupBy("seed", "node").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    raise RuntimeError(f"residues are over their bound after {max_rounds} rounds")
+    if not (0 < alpha < 1 and epsilon > 0):
+        raise ValueError("alpha lies in (0, 1), epsilon is above 0")
+    deg = settled(degrees(edges))
+    near = deg.select(F.col("node").alias("neighbour"), F.col("degree").alias("neighbour_degree"))
+    both = settled(symmetric(edges).join(near, "neighbour"))
+    start = seeds.select(F.col("node").alias("seed")).distinct().join(deg.withColumnRenamed("node", "seed"), "seed")
+    state = settled(start.select("seed", F.col("seed").alias("node"), "degree", F.lit(0.0).alias("p"), F.lit(1.0).alias("r"), F.lit(True).alias("wanted")))
+    links: list[DataFrame] = []
+    seed, node = dict(state.dtypes)["seed"], dict(state.dtypes)["node"]
+
+    def push(now: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if len(own) > most_links:
+            raise RuntimeError(f"a seed touches more than {most_links} links")
+        ids = pd.Index(pd.concat([now["node"], own["neighbour"]]).unique())
+        n = len(ids)
+        degree, p, r, known = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, dtype=bool)
+        a, b = ids.get_indexer(own["node"]), ids.get_indexer(own["neighbour"])
+        degree[b] = own["neighbour_degree"]
+        at = ids.get_indexer(now["node"])
+        degree[at], p[at], r[at] = now["degree"], now["p"], now["r"]
+        known[a] = True
+        while (active := known & (r >= epsilon * degree)).any():
+            moved = np.where(active, r, 0.0)
+            p += alpha * moved
+            r += np.bincount(b, weights=((1 - alpha) / 2 * moved / degree)[a], minlength=n) - (1 + alpha) / 2 * moved
+        met = (p > 0) | (r > 0)
+        out = pd.DataFrame({"node": ids, "degree": degree.astype(np.int64), "p": p, "r": r, "wanted": ~known & (r >= epsilon * degree)})[met]
+        return out.assign(seed=now["seed"].iloc[0])[["seed", "node", "degree", "p", "r", "wanted"]]
+
+    while True:
+        wanted = state.where("wanted").select("seed", "node")
+        if wanted.isEmpty():
+            return state.select("seed", "node", "p", F.col("r").alias("residue"))
+        links.append(settled(wanted.join(both, "node").select("seed", "node", "neighbour", "neighbour_degree")))
+        own = reduce(DataFrame.union, links)
+        pushed = state.groupBy("seed").cogroup(own.groupBy("seed")).applyInPandas(push, f"seed {seed}, node {node}, degree long, p double, r double, wanted boolean")
+        state = settled(pushed, state)
 
 
 def pagerank_with_priors(edges: DataFrame, seeds: DataFrame, back: float, rounds: int = 30) -> DataFrame:

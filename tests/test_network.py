@@ -125,6 +125,33 @@ def test_push_obeys_its_bound_and_sums_to_one(spark):
     assert cut["conductance"] == pytest.approx(1 / 7)
 
 
+def test_pushes_leave_what_the_residue_still_owes(spark):
+    """p is the lazy walk's PageRank of what is no longer residue, for every seed, and the residue obeys its bound."""
+    random.seed(11)
+    pairs = sorted({tuple(sorted(random.sample(range(40), 2))) for _ in range(70)})
+    nodes = sorted({x for p in pairs for x in p})
+    at = {n: i for i, n in enumerate(nodes)}
+    a = np.zeros((len(nodes), len(nodes)))
+    for x, y in pairs:
+        a[at[x], at[y]] = a[at[y], at[x]] = 1.0
+    degree = a.sum(axis=0)
+    for alpha, epsilon in ((0.2, 1e-3), (4e-4, 1e-4)):
+        owed = alpha * np.linalg.inv(np.eye(len(nodes)) - (1 - alpha) * (np.eye(len(nodes)) + a / degree) / 2)
+        seeds = spark.createDataFrame([(nodes[0],), (nodes[7],), (10_000,)], "node long")
+        got = diffusion.approximate_pagerank(edges(spark, pairs), seeds, alpha, epsilon).collect()
+        assert {r["seed"] for r in got} == {nodes[0], nodes[7]}
+        for seed in (nodes[0], nodes[7]):
+            p, left = np.zeros(len(nodes)), np.zeros(len(nodes))
+            for r in got:
+                if r["seed"] == seed:
+                    p[at[r["node"]]], left[at[r["node"]]] = r["p"], r["residue"]
+            start = np.zeros(len(nodes))
+            start[at[seed]] = 1.0
+            assert p == pytest.approx(owed @ (start - left), abs=1e-9) and (left / degree).max() < epsilon
+    with pytest.raises(Exception, match="touches more than"):
+        diffusion.approximate_pagerank(edges(spark, pairs), spark.createDataFrame([(nodes[0],)], "node long"), 0.2, 1e-3, most_links=3).count()
+
+
 def test_heat_kernel_rows_sum_to_one_and_modules(spark):
     e = edges(spark, BRIDGED)
     k = diffusion.heat_kernel(e, network.vertices(e), 0.4)
