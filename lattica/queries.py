@@ -318,6 +318,18 @@ def _(spark, d):
     return rounded(both.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("na", "nb")).alias("overlap")), "jaccard", "overlap")
 
 
+@query("set_measures", f"""WITH {ANN}, s AS (SELECT term, list(key) AS keys FROM ann GROUP BY term), p AS (SELECT a.key, a.term AS a, b.term AS b FROM ann a JOIN ann b ON a.key = b.key AND a.term < b.term)
+SELECT a, b, round(len(list_intersect(x.keys, y.keys))::DOUBLE / len(list_distinct(list_concat(x.keys, y.keys))), 8) AS jaccard, round(len(list_intersect(x.keys, y.keys))::DOUBLE / least(len(x.keys), len(y.keys)), 8) AS overlap
+FROM (SELECT DISTINCT a, b FROM p) JOIN s x ON x.term = a JOIN s y ON y.term = b""")
+def _(spark, d):
+    """Jaccard and overlap of the part sets of all suppliers that share a part."""
+    a = _annotation(spark, d)
+    sets = cut(a.groupBy("term").agg(F.collect_set("key").alias("keys")))
+    pairs = network.co_occurrence(a, "key", "term")
+    both = pairs.join(sets.select(F.col("term").alias("src"), F.col("keys").alias("x")), "src").join(sets.select(F.col("term").alias("dst"), F.col("keys").alias("y")), "dst")
+    return rounded(both.select(F.col("src").alias("a"), F.col("dst").alias("b"), st.jaccard("x", "y").alias("jaccard"), st.overlap("x", "y").alias("overlap")), "jaccard", "overlap")
+
+
 @query("last_wins_map", "SELECT l_partkey AS key, max_by(l_suppkey, (l_orderkey, l_linenumber)) AS value FROM lineitem GROUP BY l_partkey")
 def _(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.max_by("l_suppkey", F.struct("l_orderkey", "l_linenumber")).alias("value"))

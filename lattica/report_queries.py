@@ -15,7 +15,7 @@ def _topics(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("cluster"), F.col("p_type").alias("term")).agg((F.count(F.lit(1)) / 1000.0).alias("p_value"))
 
 
-@query("cluster_report", f"WITH {CT}, r AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY p_value, term) AS k FROM topics) SELECT cluster, count(DISTINCT node) AS members, max(t1.term) AS topic1, max(t2.term) AS topic2, max(t3.term) AS topic3 FROM cc LEFT JOIN r t1 USING (cluster) LEFT JOIN r t2 USING (cluster) LEFT JOIN r t3 USING (cluster) WHERE t1.k = 1 AND t2.k = 2 AND t3.k = 3 GROUP BY cluster")
+@query("cluster_report", f"WITH {CT}, r AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY p_value, term) AS k FROM topics) SELECT cc.cluster, count(DISTINCT node) AS members, max(t1.term) AS topic1, max(t2.term) AS topic2, max(t3.term) AS topic3 FROM cc LEFT JOIN r t1 ON t1.cluster = cc.cluster AND t1.k = 1 LEFT JOIN r t2 ON t2.cluster = cc.cluster AND t2.k = 2 LEFT JOIN r t3 ON t3.cluster = cc.cluster AND t3.k = 3 GROUP BY cc.cluster")
 def _(spark, d):
     return reports.cluster_report(_brands(spark, d), _topics(spark, d))
 
@@ -154,6 +154,16 @@ def _(spark, d):
     return rounded(diffusion.heat_kernel(_net(spark, d), _few(spark, d), 0.5), "value")
 
 
+@query("mean_cliqueness_within", "WITH " + NET.replace("l_quantity >= 45", "l_quantity >= 30") + """, c AS (SELECT p_partkey AS node, p_brand AS cluster FROM part), e AS (SELECT a.cluster, src, dst FROM net JOIN c a ON a.node = src JOIN c b ON b.node = dst AND a.cluster = b.cluster),
+s AS (SELECT cluster, src AS node, dst AS neighbour FROM e UNION ALL SELECT cluster, dst, src FROM e), g AS (SELECT cluster, node, count(*) AS degree FROM s GROUP BY ALL),
+t AS (SELECT x.cluster, x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.cluster = y.cluster AND x.dst = y.src JOIN e z ON z.cluster = x.cluster AND z.src = x.src AND z.dst = y.dst),
+k AS (SELECT cluster, node, count(*) AS t FROM (SELECT cluster, a AS node FROM t UNION ALL SELECT cluster, b FROM t UNION ALL SELECT cluster, c FROM t) x GROUP BY ALL),
+z AS (SELECT cluster, count(*) AS size FROM c GROUP BY cluster HAVING count(*) >= 6)
+SELECT cluster, size, count(*) AS linked, round(avg(CASE WHEN degree = 1 THEN 1.0 ELSE 2.0 * coalesce(t, 0) / (degree * (degree - 1)) END), 8) AS cliqueness FROM g JOIN z USING (cluster) LEFT JOIN k USING (cluster, node) GROUP BY ALL""")
+def _(spark, d):
+    return rounded(network.cluster_cliqueness(_net(spark, d, 30), _brands(spark, d)), "cliqueness")
+
+
 @query("cluster_cliqueness", "WITH " + NET.replace("l_quantity >= 45", "l_quantity >= 30") + """, c AS (SELECT p_partkey AS node, p_brand AS cluster FROM part), e AS (SELECT a.cluster, src, dst FROM net JOIN c a ON a.node = src JOIN c b ON b.node = dst AND a.cluster = b.cluster),
 s AS (SELECT cluster, src AS node, dst AS neighbour FROM e UNION ALL SELECT cluster, dst, src FROM e), g AS (SELECT cluster, node, count(*) AS degree FROM s GROUP BY ALL),
 t AS (SELECT x.cluster, x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.cluster = y.cluster AND x.dst = y.src JOIN e z ON z.cluster = x.cluster AND z.src = x.src AND z.dst = y.dst),
