@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.session import cut
+from lattica.session import remove, settled
+
 
+def descendants(edges: DataFrame, roots: DataFrame, recursive: bool = True, with_roots: bool = False, max_depth: int | None = None) -> DataFrame:
+    """``(root, term, depth)`` of all terms under each root, at their least depth; ``max_depth`` goes no further.
 
-def descendants(edges: DataFrame, roots: DataFrame, recursive: bool = True, with_roots: bool = False, max_depth: int = 64) -> DataFrame:
-    """``(root, term, depth)`` of all terms under each root, at their least depth."""
-    e = edges.select("child", "parent").distinct()
-    seen = cut(roots.select(F.col("root"), F.col("root").alias("term"), F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    for depth in range(1, (max_depth if recursive else 1) + 1):
-        step = frontier.join(e, frontier["term"] == e["parent"]).select("root", F.col("child").alias("term")).distinct()
-        fresh = cut(step.join(seen.select("root", "term"), ["root", "term"], "left_anti").withColumn("depth", F.lit(depth)))
+    A term comes in once, so the search ends on any hierarchy, and levels stay as they were written.
+    """
+    e = settled(edges.select("child", "parent").distinct())
+    levels = [settled(roots.select(F.col("root"), F.col("root").alias("term"), F.lit(0).alias("depth")).distinct())]
+    deepest = max_depth if recursive else 1
+    while deepest is None or len(levels) <= deepest:
+        step = levels[-1].join(e, levels[-1]["term"] == e["parent"]).select("root", F.col("child").alias("term")).distinct()
+        seen = reduce(DataFrame.union, [x.select("root", "term") for x in levels])
+        fresh = settled(step.join(seen, ["root", "term"], "left_anti").withColumn("depth", F.lit(len(levels))))
         if fresh.isEmpty():
+            remove(fresh)
             break
-        seen = cut(seen.unionByName(fresh))
-        frontier = fresh
-    return seen if with_roots else seen.where("depth > 0")
+        levels.append(fresh)
+    found = reduce(DataFrame.union, levels)
+    return found if with_roots else found.where("depth > 0")
 
 
 def keys_under(annotation: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
