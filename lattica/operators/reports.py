@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.special import binomial_tail
+from lattica.functions.special import hypergeometric_tail
 from lattica.operators.enrichment import cluster_terms, enrich
 from lattica.operators.ranking import numbered
 
@@ -53,6 +54,27 @@ def enrich_by_type(query: DataFrame, annotation: DataFrame, kind: str, mode: str
     return enrich(query, annotation.where(F.col("type") == kind).select("key", "term"), mode)
 
 
+def topic_tails(overlaps: DataFrame, cluster_sizes: DataFrame, topic_sizes: DataFrame, total: int, least_size: int = 9) -> DataFrame:
+    """``(cluster, term, hits, p_value)``: hypergeometric tails from counts, of clusters of at least ``least_size``.
+
+    ``overlaps(cluster, term, hits)`` are members that a cluster and a term share, ``cluster_sizes(cluster, n)`` and
+    ``topic_sizes(term, n)`` the members of each, out of ``total``. A term without a size is an error when it is read.
+    """
+    sizes = cluster_sizes.where(F.col("n") >= least_size).select("cluster", F.col("n").alias("size"))
+    met = overlaps.join(sizes, "cluster").join(topic_sizes.select("term", F.col("n").alias("in_term")), "term", "left")
+    known = F.coalesce("in_term", F.raise_error(F.concat(F.lit("term without a size: "), F.col("term"))).cast("long"))
+    return met.select("cluster", "term", "hits", hypergeometric_tail(F.lit(total), known, F.col("size"), F.col("hits")).alias("p_value"))
+
+
+def topics_of_members(clusters: DataFrame, topics: DataFrame, members: DataFrame) -> DataFrame:
+    """``(node, cluster, size, topics)`` of ``members(node)``: the smallest cluster name that holds each, and its topics, none if it has none."""
+    first = clusters.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("cluster").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.countDistinct("node").alias("size"))
+    of = topics.groupBy("cluster").agg(F.array_sort(F.collect_set("term")).alias("topics"))
+    found = first.join(sizes, "cluster").join(of, "cluster", "left")
+    return found.select("node", "cluster", "size", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
+
+
 def significant_topics(clusters: DataFrame, annotation: DataFrame, p: float = 1e-4, share: float = 0.1, least_size: int = 9) -> DataFrame:
     """Terms of clusters of at least ``least_size`` with a tail under ``p`` that more than ``share`` of the cluster has."""
     found = cluster_terms(clusters, annotation, least_size, p)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.operators import clustering, network, paths, peeling
-from lattica.queries import NET, _annotation, _brands, _economy, _net, _scores, query, rounded
+from lattica.operators import clustering, network, paths, peeling, reports
+from lattica.queries import ANN, HYP, NET, _annotation, _brands, _economy, _lchoose, _net, _scores, query, rounded
 from lattica.session import settled, shared_path, table
-from lattica.sources import readers, writers
+from lattica.sources import annotations, readers, writers
 
 # ---------------------------------------------------------------- paths
 
@@ -228,3 +228,69 @@ def _(spark, d):
     writers.write_gene_scores(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), path)
     v = F.split("value", " ")
     return readers.lines(spark, path).select(v[0].alias("key"), v[1].cast("double").alias("score"))
+
+
+# ---------------------------------------------------------------- annotation by type, topics from counts
+
+
+def _annotation_files(spark, d) -> dict[str, str]:
+    """Files of all types, made of the tables: suppliers are pathways, brands reactions, types and sizes terms of an ontology."""
+    ann, p = _annotation(spark, d), table(spark, d, "part")
+    key = F.col("p_partkey").cast("string")
+    files = {k: shared_path(spark, k) for k in ("pathway", "reaction", "ontology", "ontology_names", "protein_names")}
+    writers.write_map(ann.select(F.col("key").cast("string").alias("key"), F.col("term").cast("string").alias("term")), "key", "term", files["pathway"])
+    writers.write_map(p.select(key.alias("key"), F.col("p_brand").alias("term")), "key", "term", files["reaction"])
+    tab = lambda *c: F.concat_ws("\t", *c).alias("value")
+    none = F.lit("")
+    terms = F.explode(F.array(F.struct(F.concat(F.lit("T:"), "p_type").alias("t"), F.lit("P").alias("a")), F.struct(F.concat(F.lit("S:"), F.col("p_size").cast("string")).alias("t"), F.lit("F").alias("a"))))
+    rows = p.select(F.concat(F.lit("prot"), key).alias("protein"), terms.alias("x"))
+    rows.select(tab(F.lit("db"), "protein", none, none, "x.t", none, none, none, "x.a")).write.text(files["ontology"])
+    named = rows.select("x.t").distinct().where("t <> 'S:7'")
+    named.select(tab("t", F.concat(F.lit("name of "), "t"))).write.text(files["ontology_names"])
+    genes = p.where("p_partkey % 10 <> 3").select(F.concat(F.lit("prot"), key).alias("protein"), (F.col("p_partkey") - F.col("p_partkey") % 2).cast("string").alias("gene"))
+    genes.select(tab("protein", "gene")).write.text(files["protein_names"])
+    return files
+
+
+GENE_OF = "(p_partkey - p_partkey % 2)::VARCHAR AS key"
+TYPES = f"""{ANN}, t AS (SELECT key::VARCHAR AS key, term::VARCHAR AS term, 'pathway' AS type FROM ann UNION ALL SELECT DISTINCT p_partkey::VARCHAR, p_brand, 'reaction' FROM part
+UNION ALL SELECT DISTINCT {GENE_OF}, 'name of T:' || p_type, 'BP' FROM part WHERE p_partkey % 10 <> 3 UNION ALL SELECT DISTINCT {GENE_OF}, 'name of S:' || p_size, 'MF' FROM part WHERE p_partkey % 10 <> 3 AND p_size <> 7)"""
+
+
+@query("annotations_by_type", f"WITH {TYPES} SELECT key, term, type FROM t")
+def _(spark, d):
+    return annotations.all_annotations(spark, _annotation_files(spark, d))
+
+
+@query("annotation_sizes_by_type", f"WITH {TYPES} SELECT type, term, count(DISTINCT key) AS keys FROM t WHERE type IN ('BP', 'reaction') GROUP BY ALL")
+def _(spark, d):
+    files = _annotation_files(spark, d)
+    both = [annotations.annotation_of_type(spark, files, k).withColumn("type", F.lit(k)) for k in ("BP", "reaction")]
+    return both[0].union(both[1]).groupBy("type", "term").agg(F.count_distinct("key").alias("keys"))
+
+
+@query(
+    "topic_tails_from_counts",
+    f"""WITH {ANN}, c AS (SELECT p_partkey AS node, p_brand AS cluster FROM part), sz AS (SELECT cluster, count(*) AS size FROM c GROUP BY cluster HAVING count(*) >= 9), m AS (SELECT term, count(*) AS in_term FROM ann GROUP BY term),
+b AS (SELECT cluster, term, count(*) AS hits FROM c JOIN ann ON node = key GROUP BY ALL), tot AS (SELECT 5000 AS total)
+SELECT cluster, term::VARCHAR AS term, hits, round({HYP.format(_lchoose("in_term", "i"), _lchoose("(total - in_term)", "(size - i)"), _lchoose("total", "size"))}, 8) AS p_value FROM b JOIN sz USING (cluster) JOIN m USING (term), tot""",
+)
+def _(spark, d):
+    """Brands and suppliers through count files."""
+    ann, brands = _annotation(spark, d), _brands(spark, d)
+    paths_ = [shared_path(spark, x) for x in ("overlaps", "clusters", "topics")]
+    line = lambda *c: F.concat_ws("\t", *[F.col(x).cast("string") for x in c]).alias("value")
+    head = spark.range(1).select(F.lit("name\tmembers\ttopic").alias("value"))
+    both = brands.join(ann.withColumnRenamed("key", "node"), "node").groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n"))
+    head.union(both.select(line("cluster", "n", "term"))).write.text(paths_[0])
+    head.union(brands.groupBy("cluster").count().select(line("cluster", "count"))).write.text(paths_[1])
+    head.union(ann.groupBy("term").count().select(line("term", "count"))).write.text(paths_[2])
+    overlaps = annotations.counts(spark, paths_[0]).select(F.col("first").alias("cluster"), F.col("last").alias("term"), F.col("n").alias("hits"))
+    sizes, topics = (annotations.counts(spark, p) for p in paths_[1:])
+    return rounded(reports.topic_tails(overlaps, sizes.select(F.col("first").alias("cluster"), "n"), topics.select(F.col("first").alias("term"), "n"), 5000), "p_value")
+
+
+@query("topics_of_members", "WITH s AS (SELECT p_brand AS cluster, count(*) AS size, string_agg(DISTINCT p_type, ',' ORDER BY p_type) FILTER (p_type <> 'SMALL') AS topics FROM part GROUP BY p_brand) SELECT p_partkey AS node, cluster, size, coalesce(topics, '') AS topics FROM part JOIN s ON cluster = p_brand WHERE p_type = 'ECONOMY'")
+def _(spark, d):
+    topics = table(spark, d, "part").where("p_type <> 'SMALL'").select(F.col("p_brand").alias("cluster"), F.col("p_type").alias("term")).distinct()
+    return reports.topics_of_members(_brands(spark, d), topics, _genes(spark, d)).withColumn("topics", F.array_join("topics", ","))
