@@ -744,4 +744,4 @@ def _(spark, d):
     return rounded(motifs.shortest_tour(_brand_pairs(spark, d), islands=8), "length", digits=6)
 
 
-from lattica import file_queries, report_queries, structure_queries  # noqa: E402, F401  they register their queries here
+from lattica import file_queries, report_queries, structure_queries, value_queries  # noqa: E402, F401  they register their queries here

@@ -45,7 +45,7 @@ def _rows(df: pd.DataFrame) -> list[tuple]:
 MOST = ["set_measures", "hubs", "network_without_hubs", "clustering_coefficient", "fisher_tables", "expr_rank", "expr_spearman", "empirical_fdr", "permuted_scores", "maf_site_frequency", "configuration_model", "bfs_distances", "simple_cycles"]
 
 
-@pytest.mark.parametrize("name", [*MOST, *_registered("file_queries.py", "report_queries.py", "structure_queries.py")])
+@pytest.mark.parametrize("name", [*MOST, *_registered("file_queries.py", "report_queries.py", "structure_queries.py", "value_queries.py")])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for path in Path(DATA).glob("*.parquet"):
