@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lattica.session import cut, settled
 
+#: A round's pairs are written in no more files than hold this many of the round before.
+ROWS_A_FILE = 20_000
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -41,6 +44,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = _apart(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         new = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        new = new.coalesce(max(1, -(-before[0] // ROWS_A_FILE)))  # few pairs do not make many small files; many are not put together
         pairs = settled(new) if i % 6 == 5 else cut(new)  # guesses of size multiply by joins: every sixth round starts from the true one
         now = _fingerprint(pairs)
         if now == before:
