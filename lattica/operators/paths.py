@@ -91,7 +91,8 @@ def _weighted(edges: DataFrame) -> DataFrame:
 def weighted_distances(edges: DataFrame, sources: DataFrame, width: float | None = None, farthest: float | None = None) -> DataFrame:
     """``(source, node, distance)``: the least sum of ``edges(src, dst, weight)`` weights from each of ``sources(node)``.
 
-    Distances are settled bucket by bucket of ``width``, by default the mean weight. Within a bucket light edges, of at most
+    Distances are settled bucket by bucket of ``width``, by default four times the mean weight: wide buckets take fewer
+    rounds, of more rows each. Within a bucket light edges, of at most
     that width, are relaxed until nothing changes, then the heavy ones once from all that the bucket settled: every edge of
     a node is relaxed from its final distance, and nodes beyond the bucket wait. Only rows that wait are written again; what
     a bucket settled stays as it was written. Weights must be positive; a null one is an error as well. ``farthest`` stops
@@ -101,7 +102,7 @@ def weighted_distances(edges: DataFrame, sources: DataFrame, width: float | None
     facts = both.agg(F.count_if(F.coalesce(F.col("weight") <= 0, F.lit(True))).alias("bad"), F.avg("weight").alias("mean")).first()
     if facts["bad"]:
         raise ValueError("weights must be positive")
-    width = width or facts["mean"] or 1.0
+    width = width or 4 * (facts["mean"] or 0.25)
     light, heavy = both.where(F.col("weight") <= width), both.where(F.col("weight") > width)
     start = _within(sources, both)
     waiting = settled(start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance")))
