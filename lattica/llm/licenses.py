@@ -49,7 +49,8 @@ TEMPLATES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc",
     "this work is licensed under the gnu general public license version 3": "gpl-3.0",
     "this work is licensed under the gnu general public license version 2": "gpl-2.0",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3.0-or-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
+    "either version 3 of the license or at your option any later version": "gpl-3.0-or-later",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details": "gpl",
     "licensed under the gnu lesser general public license": "lgpl",
     "licensed under the gnu affero general public license": "agpl",
