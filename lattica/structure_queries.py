@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.operators import clustering, network, paths, peeling, reports
-from lattica.queries import ANN, HYP, NET, _annotation, _brands, _economy, _lchoose, _net, _scores, query, rounded
+from lattica.queries import ANN, HYP, NET, SQL, _annotation, _brands, _economy, _lchoose, _net, _scores, query, rounded
 from lattica.session import settled, shared_path, table
 from lattica.sources import annotations, readers, writers
 
@@ -68,13 +68,13 @@ def _(spark, d):
     return paths.spanning_paths(_net(spark, d), _genes(spark, d), _ranks(spark, d))
 
 
-def _pairs_sql(name: str, n: str, seed: str, total: str = "total") -> str:
-    """The SQL of ``random_pairs`` over the nodes ``deg``."""
+def _pairs_sql(name: str, n: str, seed: str, without: str = "") -> str:
+    """The SQL of ``random_pairs`` over the nodes ``deg``; ``without`` is a condition on pairs."""
     return f"""{name}_i AS (SELECT node, row_number() OVER (ORDER BY md5('{seed}:' || node), node) AS i FROM deg),
 {name}_t AS (SELECT count(*) AS total, greatest(4, ceil(8.0 * ({n}) / count(*)))::BIGINT AS draws FROM deg),
 {name}_d AS (SELECT node, unnest(range(1, least(draws, total - 1) + 1)) AS d, total FROM deg, {name}_t),
 {name}_p AS (SELECT DISTINCT least(a.node, b.node) AS src, greatest(a.node, b.node) AS dst FROM (SELECT node, ('0x' || substr(md5('{seed}:' || node || ':' || d), 1, 12))::BIGINT % total + 1 AS j FROM {name}_d) a JOIN {name}_i b ON b.i = a.j WHERE a.node <> b.node),
-{name} AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY md5('{seed}o:' || src || ':' || dst), src, dst) AS r FROM {name}_p) WHERE r <= ({n}))"""
+{name} AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY md5('{seed}o:' || src || ':' || dst), src, dst) AS r FROM {name}_p {without}) WHERE r <= ({n}))"""
 
 
 def _bfs_sql(edges: str, pairs: str, net: str = "0") -> str:
@@ -294,3 +294,21 @@ def _(spark, d):
 def _(spark, d):
     topics = table(spark, d, "part").where("p_type <> 'SMALL'").select(F.col("p_brand").alias("cluster"), F.col("p_type").alias("term")).distinct()
     return reports.topics_of_members(_brands(spark, d), topics, _genes(spark, d)).withColumn("topics", F.array_join("topics", ","))
+
+
+# ---------------------------------------------------------------- SQL of earlier queries
+
+_SEARCH = f"""{NET}, b(source, node, dist) AS (SELECT node, node, 0 FROM few UNION SELECT b.source, s.neighbour, b.dist + 1 FROM b JOIN sym s ON s.node = b.node WHERE NOT EXISTS (SELECT 1 FROM recurring.b k WHERE k.source = b.source AND k.node = s.neighbour)),
+least_d AS (SELECT source, node, min(dist)::INT AS distance FROM b GROUP BY ALL)"""
+_PATHS = f"""{_SEARCH}, par AS (SELECT x.source, x.node, min(y.node) AS parent FROM least_d x JOIN sym s ON s.node = x.node JOIN least_d y ON y.source = x.source AND y.node = s.neighbour AND y.distance = x.distance - 1 GROUP BY ALL),
+way(source, node, path) AS (SELECT node, node, [node] FROM few UNION ALL SELECT par.source, par.node, list_append(way.path, par.node) FROM way JOIN par ON par.source = way.source AND par.parent = way.node)"""
+
+SQL["shortest_paths"] = f"WITH RECURSIVE {_PATHS} SELECT source, node, array_to_string(path, ',') AS path FROM way"
+SQL["path_edges"] = f"WITH RECURSIVE {_PATHS}, e AS (SELECT source, node, path, unnest(range(1, len(path))) AS i FROM way) SELECT source, node, least(path[i], path[i + 1]) AS src, greatest(path[i], path[i + 1]) AS dst FROM e"
+SQL["set_distance"] = f"""WITH RECURSIVE {_SEARCH}, t AS (SELECT source, l.node, distance FROM least_d l JOIN part ON p_partkey = l.node WHERE p_type = 'ECONOMY'),
+m AS (SELECT min(distance) AS m FROM t GROUP BY source UNION ALL SELECT min(distance) FROM t GROUP BY node) SELECT (SELECT round(avg(m), 8) FROM m) AS mean_min_distance, round(avg(distance), 8) AS mean_distance, count(*) AS pairs FROM t"""
+SQL["random_graph"] = f"WITH {NET}, {_pairs_sql('made', 'SELECT count(*) FROM net', 'g')} SELECT src, dst FROM made"
+SQL["random_pairs"] = f"WITH {NET}, {_pairs_sql('made', '1000', 'r', 'p WHERE NOT EXISTS (SELECT 1 FROM net WHERE net.src = p.src AND net.dst = p.dst)')} SELECT src, dst FROM made"
+SQL["random_keep_degrees"] = f"""WITH {NET}, e AS (SELECT src, dst, substr(md5('k:' || src || ':' || dst), 1, 1) < '8' AS first FROM net),
+a AS (SELECT row_number() OVER (ORDER BY md5('ka:' || src || ':' || dst)) AS i, CASE WHEN first THEN src ELSE dst END AS x FROM e), b AS (SELECT row_number() OVER (ORDER BY md5('kb:' || src || ':' || dst)) AS i, CASE WHEN first THEN dst ELSE src END AS y FROM e)
+SELECT DISTINCT least(x, y) AS src, greatest(x, y) AS dst FROM a JOIN b USING (i) WHERE x <> y"""
