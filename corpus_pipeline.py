@@ -37,8 +37,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences of 4096 tokens."""
-    return pack(docs)
+    """Token pieces with their place in sequences of 4096 tokens; word memos are small, as workers that other stages use hold them."""
+    return pack(docs, memo_bytes=16 << 20)
 
 
 STAGES = [

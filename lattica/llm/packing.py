@@ -108,14 +108,15 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, memo_bytes: int = MEMO_BYTES) -> WordEncoder:
     """One encoder a worker process, kept from task to task."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].memo.limit = memo_bytes
     return _encoders[path]
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """The documents' ids, ended by ``end_id`` and cut where longer than ``capacity``: one row a piece.
 
     ``part`` is the task that made the piece and ``inside`` its number, from 0, among that task's pieces of its length.
@@ -124,7 +125,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(path), TaskContext.get().partitionId()
+        enc, part = encoder(path, memo_bytes), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
             for first, stop in portions(pc.binary_length(batch.column("text")).to_pylist(), PORTION):
@@ -249,10 +250,10 @@ def ranked(pieces: DataFrame) -> DataFrame:
     return pieces.join(sizes, ["length", "part"]).withColumn("rank", F.col("base") + F.col("inside")).drop("part", "inside", "base")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row a piece with its sequence and the offset in it."""
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, memo_bytes: int = MEMO_BYTES) -> DataFrame:
+    """One row a piece with its sequence and the offset in it; a worker remembers the ids of words in twice ``memo_bytes`` at most."""
     spark = docs.sparkSession
-    pieces = cut(token_pieces(docs, path, capacity, end_id))
+    pieces = cut(token_pieces(docs, path, capacity, end_id, memo_bytes))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     runs = spark.createDataFrame(plan(counts, capacity), PLAN).withColumnRenamed("length", "_length")
     at = F.col("rank") - F.col("rank_from")
