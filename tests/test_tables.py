@@ -21,6 +21,30 @@ def test_tails(spark):
     assert one(spark, sp.fisher_cumulative(F.lit(1), F.lit(3), F.lit(3), F.lit(1))) == pytest.approx(17 / 70)
 
 
+def _binomial(n, p, k, high):
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, min(n, high) + 1))
+
+
+def test_tails_take_the_terms_that_count(spark):
+    """A billion draws are no longer a billion terms, and what is left out does not show."""
+    poisson = 1 - math.fsum(math.exp(-20 + i * math.log(20) - math.lgamma(i + 1)) for i in range(35))
+    assert one(spark, sp.binomial_tail(F.lit(2e-8), F.lit(1_000_000_000), F.lit(35))) == pytest.approx(poisson, rel=1e-4)
+    assert one(spark, sp.hypergeometric_tail(F.lit(2_000_000_000), F.lit(40), F.lit(1_000_000_000), F.lit(21))) == pytest.approx(_binomial(40, 0.5, 21, 40), rel=1e-4)
+    assert one(spark, sp.hypergeometric_tail(F.lit(2_000_000_000), F.lit(1_000_000_000), F.lit(1_000_000_000), F.lit(500_000_000))) == pytest.approx(0.5, abs=1e-4)
+    for n, p, k in ((5000, 0.4, 1), (5000, 0.4, 1990), (5000, 0.4, 2300), (5000, 0.999, 4990), (200_000, 6e-5, 3), (200_000, 6e-5, 60)):
+        assert one(spark, sp.binomial_tail(F.lit(p), F.lit(n), F.lit(k))) == pytest.approx(_binomial(n, p, k, 6000), rel=1e-9)
+
+
+def test_gamma_of_many_degrees(spark):
+    """Three hundred steps were too few from about a thousand degrees of freedom on; an even number has a finite sum."""
+    for a in (3, 30, 3000, 30_000):
+        for x in (0.9 * a, a - 1.0, a + 1.5, a + 2 * math.sqrt(a), 3.0 * a):
+            upper = math.fsum(math.exp(-x + k * math.log(x) - math.lgamma(k + 1)) for k in range(a))
+            assert one(spark, sp.gamma_q(F.lit(float(a)), F.lit(x))) == pytest.approx(upper, rel=1e-7)
+            assert one(spark, sp.gamma_q(a, F.lit(x))) == pytest.approx(upper, rel=1e-7)
+            assert one(spark, sp.gamma_p(a, F.lit(x))) == pytest.approx(1 - upper, abs=1e-8)
+
+
 @pytest.mark.parametrize("z", [-8.0, -1.96, 0.3, 2.5, 6.0])
 def test_normal(spark, z):
     assert one(spark, sp.normal_cdf(F.lit(z))) == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)), rel=1e-9)
