@@ -138,6 +138,17 @@ def test_pair_distances_from_both_ends_equal_breadth_first(spark):
     assert None in got.values() and max(d or 0 for d in got.values()) > 4
 
 
+def test_random_pairs_are_not_sorted_on_the_driver(spark):
+    """A sorted limit sends its rows to the driver, and a random network has as many as the network has edges."""
+    nodes = spark.range(500).withColumnRenamed("id", "node")
+    for n in (1, 300, 100_000):
+        drawn = paths.random_pairs(nodes, n, seed="far")
+        assert "TakeOrdered" not in drawn._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in drawn.collect()]
+        assert len(got) == len(set(got)) and all(a < b for a, b in got) and (len(got) == n or n == 100_000)
+    assert set(map(tuple, paths.random_pairs(nodes, 20, seed="far").collect())) != set(map(tuple, paths.random_pairs(nodes, 20, seed="near").collect()))
+
+
 def test_histograms_over_random_pairs_and_networks(spark):
     pairs = random_net(4, 40, 80)
     got = {r["distance"]: r["pairs"] for r in paths.path_length_histogram(edges(spark, pairs), 100).collect()}
