@@ -96,6 +96,14 @@ def test_simple_cycles(spark):
     assert sorted(tuple(r["cycle"]) for r in motifs.simple_cycles(arcs, 4).collect()) == [(1, 2), (1, 2, 3), (4,)]
 
 
+def test_cycles_are_not_sought_in_dead_ends(spark):
+    """Twelve layers of four have 4 ** 12 walks, none of which comes back."""
+    layers = [(4 * i + a, 4 * i + 4 + b) for i in range(12) for a in range(4) for b in range(4)]
+    arcs = edges(spark, [*layers, (100, 101), (101, 102), (102, 100), (102, 0), (51, 103), (103, 103)])
+    assert sorted(tuple(r["cycle"]) for r in motifs.simple_cycles(arcs).collect()) == [(100, 101, 102), (103,)]
+    assert motifs.simple_cycles(edges(spark, layers)).count() == 0
+
+
 def test_connect_and_grow(spark):
     e = edges(spark, [(1, 2), (2, 3), (3, 4), (4, 5), (2, 9), (20, 21)])
     got = rows(motifs.connect(e, spark.createDataFrame([(1,), (4,)], "node long")))
