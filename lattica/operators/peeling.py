@@ -82,7 +82,8 @@ def removal_order(edges: DataFrame, share: float = 0.3, largest: int = 300, roun
         take = round(min(most, total) * i / rounds) - gone
         if take > 0:
             now = settled(edge_betweenness(left.select("src", "dst")))
-            top = settled(now.orderBy(F.round("betweenness", 9).desc(), "src", "dst").limit(take).join(left, ["src", "dst"]))
+            most_travelled = numbered(now, [], [F.round("betweenness", 9).desc(), F.col("src"), F.col("dst")], "at").where(F.col("at") <= take)
+            top = settled(most_travelled.drop("at").join(left, ["src", "dst"]))
             placed = numbered(top, ["component"], [F.round("betweenness", 9).desc(), F.col("src"), F.col("dst")])
             batches.append(placed.select("component", "src", "dst", (F.col("rank") + i * total).alias("step"), F.round("betweenness", 9).alias("own"), F.lit(i).alias("batch")))
             left = settled(left.join(top, ["src", "dst"], "left_anti").select("component", "src", "dst"), left)

@@ -101,6 +101,22 @@ def test_best_cut_equals_trying_all(spark):
     assert {r["node"]: r["cluster"] for r in best} == clusters_of(nodes, [p for p in pairs if order.get(p, 99) > best[0]["removed"]])
 
 
+def test_batches_are_not_sorted_on_the_driver(spark, monkeypatch):
+    """A sorted limit sends a batch, a share of all edges, to the driver."""
+    pairs = [(i, i + 1) for i in range(12)]
+    e = edges(spark, pairs)
+
+    limit = type(e).limit
+
+    def one_row_at_most(self, n):
+        assert n <= 1
+        return limit(self, n)
+
+    monkeypatch.setattr(type(e), "limit", one_row_at_most)
+    got = [tuple(r) for r in peeling.removal_order(e, 0.3, largest=5, rounds=2).orderBy("place").select("src", "dst").collect()]
+    assert got[0] in ((5, 6), (6, 7)) and len(got) == 3
+
+
 def test_large_components_go_in_batches(spark):
     pairs = random_net(3, 26, 40, blocks=3)
     got = peeling.removal_order(edges(spark, pairs), 0.15, largest=5, rounds=2).orderBy("place").collect()
