@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,29 +11,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.components import connected_components
-from lattica.operators.ranking import numbered
-from lattica.session import cut, settled
+from lattica.operators.ranking import numbered, running_sums
+from lattica.session import cut, remove, settled
 
 
 def spanning_forest(pairs: DataFrame) -> DataFrame:
     """Edges ``(src, dst, distance)`` of a minimum spanning forest by Boruvka rounds; equal distances go by the pair's ids.
 
-    Sorted by distance these are the merges of single-linkage clustering.
+    Sorted by distance these are the merges of single-linkage clustering. A round picks the least edge of every tree; the
+    picks of a tree lead, from tree to tree, to two that picked the same edge, and the smaller of those names the new tree. Only the
+    least edge between two trees goes on, so rounds work on fewer trees and edges each.
     """
-    edges = cut(pairs.select("src", "dst", F.col("distance").cast("double").alias("distance")))
-    chosen = None
-    work = edges.select("src", "dst", "distance", F.col("src").alias("cs"), F.col("dst").alias("cd"))
+    e = pairs.where("src <> dst").select("src", "dst", F.col("distance").cast("double").alias("distance"))
+    work = settled(e.select(F.struct("distance", "src", "dst").alias("e"), F.col("src").alias("cs"), F.col("dst").alias("cd")))
+    chosen = []
     while True:  # a round at least halves the number of trees
-        ends = work.select(F.explode(F.array("cs", "cd")).alias("c"), F.struct("distance", "src", "dst").alias("e"))
-        picked = ends.groupBy("c").agg(F.min("e").alias("e")).select("e.src", "e.dst", "e.distance").distinct()
-        picked = cut(picked)
+        ends = work.select("e", F.explode(F.array(F.struct(F.col("cs").alias("c"), F.col("cd").alias("other")), F.struct(F.col("cd").alias("c"), F.col("cs").alias("other")))).alias("x"))
+        picked = settled(ends.groupBy("x.c").agg(F.min(F.struct("e", "x.other")).alias("p")).select("c", "p.other", "p.e"))
         if picked.isEmpty():
+            remove(work)
+            remove(picked)
             break
-        chosen = picked if chosen is None else chosen.union(picked)
-        label = cut(connected_components(chosen))
-        work = edges.join(label.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(label.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst")
-        work = cut(work.where("cs <> cd").select("src", "dst", "distance", "cs", "cd"))
-    return (chosen if chosen is not None else edges.limit(0)).distinct()
+        chosen.append(settled(picked.select("e.src", "e.dst", "e.distance").distinct()))
+        back = picked.select(F.col("c").alias("other"), F.col("other").alias("c"), F.lit(True).alias("mutual"))
+        root = F.col("mutual").isNotNull() & (F.col("c") < F.col("other"))
+        label = settled(picked.join(back, ["c", "other"], "left").select(F.col("c").alias("name"), F.when(root, F.col("c")).otherwise(F.col("other")).alias("at")), picked)
+        label = _doubled(label, [])
+        at = lambda c: label.select(F.col("name").alias(c), F.col("at").alias(f"{c}_at"))
+        kept = work.join(at("cs"), "cs").join(at("cd"), "cd").where("cs_at <> cd_at")
+        kept = kept.groupBy(F.least("cs_at", "cd_at").alias("cs"), F.greatest("cs_at", "cd_at").alias("cd")).agg(F.min("e").alias("e"))
+        work = settled(kept.select("e", "cs", "cd"), work, label)
+    return reduce(DataFrame.union, chosen) if chosen else e.limit(0)
 
 
 def agglomerate(pairs: DataFrame, linkage: str = "average") -> DataFrame:
@@ -78,58 +87,52 @@ def tree_order(merges: DataFrame) -> DataFrame:
 
     ``merges(merged, left, right, round)`` names a merge by its left part; ``merge`` counts the merges of a name, 0 for the
     leaf. ``depth_first`` numbers a tree's nodes from 1, a node before its left part before its right; ``breadth_first`` level
-    by level in the same order; ``size`` counts leaves. Depths and numbers are sums along the way to the root, found by
-    doubling: each round joins every node with the one twice as far up, so a tree of any depth takes rounds by its
-    logarithm.
+    by level in the same order; ``size`` counts leaves. The merges of a name are one way down to its leaf, so places on it
+    are running sums; only the names' last merges, a row a name, are walked up, by doubling: each round joins every name with
+    the one twice as far up, so names of any depth take rounds by its logarithm.
     """
     own = settled(merges.select(F.col("merged").alias("name"), "right", "round"))
-    placed = settled(numbered(own, ["name"], [F.col("round")], "k"))
-    last = placed.groupBy(F.col("name").alias("right")).agg(F.max("k").alias("rk"))
-    inner = placed.join(last, "right", "left").select("name", "k", "right", F.coalesce("rk", F.lit(0)).cast("long").alias("rk"))
-    inner = settled(inner)
-    left = inner.select("name", (F.col("k") - 1).alias("k"), F.col("name").alias("pname"), F.col("k").alias("pk"), F.lit(0).alias("side"))
-    right = inner.select(F.col("right").alias("name"), F.col("rk").alias("k"), F.col("name").alias("pname"), F.col("k").alias("pk"), F.lit(1).alias("side"))
-    below = settled(left.union(right))
-    roots = inner.select("name", "k").join(below.select("name", "k"), ["name", "k"], "left_anti")
-    # Up by doubling: how far each node has come, and what it has summed on the way.
-    up = settled(below.select("name", "k", F.col("pname").alias("at"), F.col("pk").alias("at_k"), F.lit(1).cast("long").alias("depth")).union(roots.select("name", "k", F.col("name").alias("at"), F.col("k").alias("at_k"), F.lit(0).cast("long"))))
-    up = _doubled(up, ["depth"])
-    sizes = _leaf_counts(below)
+    names = settled(own.select("name").union(own.select("right")).distinct())
+    leaves = _leaf_counts(names, own.select(F.col("right").alias("name"), F.col("name").alias("at")))
+    placed = settled(own.join(leaves.select(F.col("name").alias("right"), "size"), "right"))
+    placed = settled(running_sums(placed, ["name"], [F.col("round")], k=F.lit(1).cast("long"), more="size").drop("round"), placed)
+    top = settled(placed.groupBy("name").agg(F.max("k").alias("top")))
     # A right part comes after all nodes of its left sister: as many as twice its leaves less one.
-    sister = below.where("side = 0").join(sizes, ["name", "k"]).select("pname", "pk", (2 * F.col("size") - 1).alias("before"))
-    step = below.join(sister, ["pname", "pk"]).select("name", "k", F.col("pname").alias("at"), F.col("pk").alias("at_k"), (1 + F.when(F.col("side") == 1, F.col("before")).otherwise(0)).alias("place"))
-    place = _doubled(settled(step.union(roots.select("name", "k", F.col("name").alias("at"), F.col("k").alias("at_k"), F.lit(0).cast("long")))), ["place"])
-    known = up.select("name", "k", F.col("at").alias("root"), F.col("at_k").alias("root_k"), "depth").join(place.select("name", "k", "place"), ["name", "k"]).join(sizes, ["name", "k"])
-    known = numbered(settled(known), ["root", "root_k"], [F.col("depth"), F.col("place")], "breadth_first")
+    above = F.col("top") - F.col("k")
+    step = placed.join(top, "name").select(F.col("right").alias("name"), F.col("name").alias("at"), (above + 1).alias("depth"), (above + 2 * (1 + F.col("more") - F.col("size"))).alias("place"))
+    none = F.lit(0).cast("long")
+    roots = names.join(own.select(F.col("right").alias("name")), "name", "left_anti").select("name", F.col("name").alias("at"), none.alias("depth"), none.alias("place"))
+    up = _doubled(settled(step.union(roots)), ["depth", "place"])
+    nodes = placed.select("name", "k", (F.col("more") + 1).alias("size")).union(names.select("name", none, F.lit(1).cast("long")))
+    ways = up.join(top, "name", "left").select("name", F.col("at").alias("root"), "depth", "place", F.coalesce("top", none).alias("top"))
+    known = nodes.join(ways, "name").select("name", "k", "root", "size", (F.col("depth") + above).alias("depth"), (F.col("place") + above).alias("place"))
+    known = numbered(settled(known), ["root"], [F.col("depth"), F.col("place")], "breadth_first")
     return known.select(F.col("name").alias("node"), F.col("k").alias("merge"), "root", (F.col("k") == 0).alias("leaf"), "size", "depth", (F.col("place") + 1).alias("depth_first"), "breadth_first")
 
 
 def _doubled(up: DataFrame, sums: list[str]) -> DataFrame:
-    """``(name, k, at, at_k, sums)`` with ``at`` moved on to the root and the sums of the whole way."""
+    """``(name, at, sums)`` with ``at`` moved on to the root and the sums of the whole way."""
     while True:
-        ahead = up.select(F.col("name").alias("at"), F.col("k").alias("at_k"), F.col("at").alias("far"), F.col("at_k").alias("far_k"), *[F.col(c).alias(f"{c}_ahead") for c in sums])
-        new = settled(up.join(ahead, ["at", "at_k"]).select("name", "k", F.col("far").alias("at"), F.col("far_k").alias("at_k"), *[(F.col(c) + F.col(f"{c}_ahead")).alias(c) for c in sums], ((F.col("at") != F.col("far")) | (F.col("at_k") != F.col("far_k"))).alias("moved")))
-        moved = not new.where("moved").isEmpty()
-        up = settled(new.drop("moved"), up, new)
-        if not moved:
-            return up
+        ahead = up.select(F.col("name").alias("at"), F.col("at").alias("far"), *[F.col(c).alias(f"{c}_ahead") for c in sums])
+        new = up.select("name", "at", *sums).join(ahead, "at").select("name", F.col("far").alias("at"), *[(F.col(c) + F.col(f"{c}_ahead")).alias(c) for c in sums], (F.col("at") != F.col("far")).alias("moved"))
+        up = settled(new, up)
+        if up.where("moved").isEmpty():
+            return up.drop("moved")
 
 
-def _leaf_counts(below: DataFrame) -> DataFrame:
-    """``(name, k, size)``: leaves under every node, again by doubling.
+def _leaf_counts(names: DataFrame, below: DataFrame) -> DataFrame:
+    """``(name, size)``: how many names ``below(name, at)`` puts under every name, itself counted, again by doubling.
 
-    After i rounds a node has counted the leaves fewer than 2^i steps below it; the others are under its descendants 2^i
+    After i rounds a name has counted those fewer than 2^i steps below it; the others are under its descendants 2^i
     steps below, each by one of them.
     """
-    parent = below.select("name", "k", "pname", "pk")
-    nodes = parent.select("name", "k").union(parent.select(F.col("pname"), F.col("pk"))).distinct()
-    value = settled(nodes.select("name", "k", (F.col("k") == 0).cast("long").alias("size")))
-    jump = settled(parent)
+    value = settled(names.select("name", F.lit(1).cast("long").alias("size")))
+    jump = settled(below)
     while not jump.isEmpty():
-        sent = value.join(jump, ["name", "k"]).groupBy(F.col("pname").alias("name"), F.col("pk").alias("k")).agg(F.sum("size").alias("more"))
-        value = settled(value.join(sent, ["name", "k"], "left").select("name", "k", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), value)
-        on = jump.select(F.col("name").alias("pname"), F.col("k").alias("pk"), F.col("pname").alias("far"), F.col("pk").alias("far_k"))
-        jump = settled(jump.join(on, ["pname", "pk"]).select("name", "k", F.col("far").alias("pname"), F.col("far_k").alias("pk")), jump)
+        sent = value.join(jump, "name").groupBy(F.col("at").alias("name")).agg(F.sum("size").alias("more"))
+        value = settled(value.join(sent, "name", "left").select("name", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), value)
+        on = jump.select(F.col("name").alias("at"), F.col("at").alias("far"))
+        jump = settled(jump.join(on, "at").select("name", F.col("far").alias("at")), jump)
     return value
 
 
@@ -222,29 +225,38 @@ class SetMap:
 
     A node is as similar to a set as the mean, over the sets it holds, of the share of the smaller of the two that both
     have. That sum goes item by item: for an item and a set of ``s`` items, a held set of ``t`` items that has it counts 1 over the smaller of
-    ``s`` and ``t``. So a node is held as counts by item and size, and matching is one join on items: no two sets are compared.
-    After each round a node holds the sets that were matched to the nodes within a square that shrinks to itself.
+    ``s`` and ``t``. After each round a node holds the sets that were matched to the nodes within a square that shrinks to
+    itself. A set counts once, at the node it was matched to, by item and size; a set's sums with those are one join on items,
+    and a node's sum is that of the nodes in its square: no two sets are compared, and no set is copied to the nodes that hold it.
     """
 
     def __init__(self, side: int = 24, rounds: int = 5, width: int = 8, digits: int = 9):
         self.side, self.rounds, self.width, self.digits = side, rounds, width, digits
+        #: ``(node, item, size, n)`` of the sets matched to each node, ``(node, sets)``, how many a node holds, and the square's width.
         self.held: DataFrame | None = None
+        self.sets: DataFrame | None = None
+        self.reach = 0
 
     def fit(self, sets: DataFrame) -> SetMap:
         """``sets(id, item)``. At first each node holds one random set of the mean number of items."""
-        own = settled(sets.select("id", "item").distinct())
+        own = self._sized(sets)
         facts = own.agg(F.count_distinct("id").alias("rows"), F.count_distinct("item").alias("items")).first()
         if not facts["rows"]:
             return self
         size = max(1, facts["items"] // facts["rows"])
-        self.held = self._first(own, size)
+        first = self._first(own, size)
+        self._hold(first.select(F.col("node").alias("id"), "node").distinct(), self._sized(first.select(F.col("node").alias("id"), "item")), 0)
         for step in range(self.rounds):
-            width = int(self.width * (1 - (step + 1) / self.rounds))
             matched = settled(self._matched(own))
-            near = matched.withColumn("n", F.explode(self._box(F.col("node"), width))).select(F.col("n").alias("node"), "id")
-            self.held, old = settled(self._counts(near, own)), self.held
+            self._hold(matched, own, int(self.width * (1 - (step + 1) / self.rounds)))
         return self
 
+    @staticmethod
+    def _sized(sets: DataFrame) -> DataFrame:
+        """``(id, item, size)``: every item of a set once, beside how many it has."""
+        own = settled(sets.select("id", "item").distinct())
+        return settled(own.join(own.groupBy("id").agg(F.count(F.lit(1)).alias("size")), "id"), own)
+
     def _first(self, own: DataFrame, size: int) -> DataFrame:
         """Items of each node: those of the ``size`` smallest hashes, of the items within a bound on the hash that leaves enough."""
         items = own.select("item").distinct()
@@ -253,8 +265,7 @@ class SetMap:
         bound = min(1.0, (2 * size + 32) / total)
         near = drawn.where(F.conv(F.substring("h", 1, 12), 16, 10).cast("double") <= bound * 2.0**48)
         taken = numbered(near, ["node"], [F.col("h"), F.col("item")]).where(F.col("rank") <= size)
-        keyed = settled(taken.select("node", F.col("node").alias("id"), "item"))
-        return settled(self._counts(keyed.select("node", "id").distinct(), keyed.select("id", "item")))
+        return settled(taken.select("node", "item"))
 
     def _box(self, node, width: int):
         x, y = F.floor(node / self.side), node % self.side
@@ -262,36 +273,36 @@ class SetMap:
         high = lambda c: F.least(c + width, F.lit(self.side - 1)).cast("int")
         return F.flatten(F.transform(F.sequence(low(x), high(x)), lambda a: F.transform(F.sequence(low(y), high(y)), lambda b: (a * self.side + b).cast("int"))))
 
-    @staticmethod
-    def _counts(near: DataFrame, own: DataFrame) -> DataFrame:
-        """``(node, item, size, n, sets)``: how many of the node's ``sets`` sets have the item, by their sizes."""
-        sizes = own.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
-        sets = near.groupBy("node").agg(F.count(F.lit(1)).alias("sets"))
-        by = near.join(sizes, "id").join(own, "id").groupBy("node", "item", "size").agg(F.count(F.lit(1)).alias("n"))
-        return by.join(sets, "node")
+    def _hold(self, matched: DataFrame, own: DataFrame, width: int) -> None:
+        """From now on the nodes within ``width`` of the node of ``matched(id, node)`` hold a set."""
+        here = matched.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        sets = settled(here.withColumn("node", F.explode(self._box(F.col("node"), width))).groupBy("node").agg(F.sum("n").alias("sets")))
+        self.held = settled(own.join(matched.select("id", "node"), "id").groupBy("node", "item", "size").agg(F.count(F.lit(1)).alias("n")))
+        self.sets, self.reach = sets, width
 
     def _matched(self, own: DataFrame) -> DataFrame:
         """``(id, node, similarity)``: the most similar node, the first of equal ones; a set like none goes to the first node that holds nothing, or to the first."""
-        sizes = own.groupBy("id").agg(F.count(F.lit(1)).alias("s"))
-        met = own.join(self.held.withColumnRenamed("size", "t"), "item").join(sizes, "id")
-        near = met.groupBy("id", "node").agg(F.round(F.sum(F.col("n") / F.least("s", "t")) / F.first("sets"), self.digits).alias("similarity"))
+        met = own.withColumnRenamed("size", "s").join(self.held.withColumnRenamed("size", "t"), "item")
+        at = met.groupBy("id", "node").agg(F.sum(F.col("n") / F.least("s", "t")).alias("shared")).repartition("id")  # a row an id and node at most
+        near = at.select("id", F.explode(self._box(F.col("node"), self.reach)).alias("node"), "shared").groupBy("id", "node").agg(F.sum("shared").alias("shared"))
+        near = near.join(F.broadcast(self.sets), "node").select("id", "node", F.round(F.col("shared") / F.col("sets"), self.digits).alias("similarity"))
         best = near.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("node")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("node"), "b.similarity")
         grid = own.sparkSession.range(self.side * self.side).select(F.col("id").cast("int").alias("node"))
-        empty = grid.join(self.held.select("node").distinct(), "node", "left_anti").agg(F.coalesce(F.min("node"), F.lit(0)).alias("spare"))
-        out = sizes.join(best, "id", "left").crossJoin(F.broadcast(empty))
+        empty = grid.join(self.sets, "node", "left_anti").agg(F.coalesce(F.min("node"), F.lit(0)).alias("spare"))
+        out = own.select("id").distinct().join(best, "id", "left").crossJoin(F.broadcast(empty))
         return out.select("id", F.coalesce("node", "spare").cast("int").alias("node"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
     def assign(self, sets: DataFrame) -> DataFrame:
         """``(id, x, y, similarity)``: the node of each set."""
-        own = settled(sets.select("id", "item").distinct())
+        own = self._sized(sets)
         if self.held is None:
             return own.select("id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0.0).alias("similarity")).limit(0)
         return self._matched(own).select("id", F.floor(F.col("node") / self.side).cast("int").alias("x"), (F.col("node") % self.side).alias("y"), "similarity")
 
     def medians(self, sets: DataFrame) -> DataFrame:
         """``(x, y, id, size)``: of the sets matched to each node, the one in the middle by size, then by id."""
-        own = settled(sets.select("id", "item").distinct())
-        at = self.assign(own).join(own.groupBy("id").agg(F.count(F.lit(1)).alias("size")), "id")
+        own = self._sized(sets)
+        at = self.assign(own).join(own.select("id", "size").distinct(), "id")
         placed = settled(numbered(settled(at), ["x", "y"], [F.col("size"), F.col("id")]))
         count = placed.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
         return placed.join(count, ["x", "y"]).where(F.col("rank") == F.floor(F.col("n") / 2) + 1).select("x", "y", "id", "size")

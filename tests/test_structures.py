@@ -140,3 +140,23 @@ def test_component_and_score_files(spark, tmp_path):
     assert [tuple(r) for r in spark.read.text(str(tmp_path / "c")).groupBy("component").agg(F.count("value")).collect()] == [("a", 4)]
     writers.write_gene_scores(spark.createDataFrame([("g1", 3, 0.5)], "gene string, n int, score double"), str(tmp_path / "s"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "s")).collect()] == ["g1 0.5"]
+
+
+def test_spanning_forest_equals_kruskal(spark):
+    """Equal distances go by the ids; a link of a node to itself is in no forest."""
+    rng = random.Random(8)
+    pairs = [(a, b, float(rng.randrange(4))) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.08] + [(100, 101, 1.0), (5, 5, 0.0)]
+    root = {x: x for p in pairs for x in p[:2]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = set()
+    for d, a, b in sorted((d, a, b) for a, b, d in pairs):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.add((a, b, d))
+    got = clustering.spanning_forest(spark.createDataFrame(pairs, "src long, dst long, distance double")).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
