@@ -165,3 +165,52 @@ def test_histograms_over_random_pairs_and_networks(spark):
         near = links(nets[r["net"]])
         own = [1.0 if len(v) == 1 else 2 * sum(b in near[a] for a in v for b in v if a < b) / (len(v) * (len(v) - 1)) for v in near.values()]
         assert r["cliqueness"] == pytest.approx(sum(own) / len(own))
+
+
+def jobs_of(spark, work):
+    """How many Spark jobs ``work`` takes."""
+    sc = spark.sparkContext
+    sc.setJobGroup("counted", "counted")
+    before = len(sc.statusTracker().getJobIdsForGroup("counted"))
+    try:
+        work()
+        return len(sc.statusTracker().getJobIdsForGroup("counted")) - before
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_long_ways_take_few_jobs(spark):
+    """Searches of a component that fits a task don't take jobs by its depth."""
+    line = [(i, i + 1) for i in range(60)]
+    e = edges(spark, line)
+    ranks = spark.createDataFrame([(0, 1, 1.0)], "node long, neighbour long, rank double")
+    found = []
+    assert jobs_of(spark, lambda: found.extend(paths.ranked_search(e, nodes(spark, [0]), ranks).collect())) < 200
+    assert {r["node"]: r["level"] for r in found} == {i: i for i in range(61)}
+    found.clear()
+    assert jobs_of(spark, lambda: found.extend(paths.weighted_distances(e.withColumn("weight", F.col("src") + 1.0), nodes(spark, [0])).collect())) < 200
+    assert {r["node"]: r["distance"] for r in found} == {i: i * (i + 1) / 2 for i in range(61)}
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_searches_in_tasks_and_by_joins_agree(spark, text):
+    pairs = [*random_net(3, 30, 60), *[(a + 100, b + 100) for a, b in random_net(4, 12, 20)]]
+    rng = random.Random(9)
+    e = edges(spark, pairs).withColumn("weight", 1.0 + F.pmod(F.col("src") * 3 + F.col("dst"), F.lit(7)))
+    ranks = spark.createDataFrame([(x, y, float(rng.randrange(3))) for a, b in pairs for x, y in ((a, b), (b, a)) if rng.random() < 0.8], "node long, neighbour long, rank double")
+    own = nodes(spark, [0, 5, 29, 103])
+    if text:
+        as_text = lambda df, *names: df.withColumns({c: F.col(c).cast("string") for c in names})
+        e, ranks, own = as_text(e, "src", "dst"), as_text(ranks, "node", "neighbour"), as_text(own, "node")
+    for search in (lambda most: paths.ranked_search(e, own, ranks, most), lambda most: paths.weighted_distances(e, own, most_links=most)):
+        all_tasks, mixed, all_joins = (sorted(map(tuple, search(most).collect()), key=str) for most in (10_000, 60, 0))
+        assert all_tasks == mixed == all_joins
+
+
+def test_pairs_apart_are_not_searched(spark):
+    line = [(i, i + 1) for i in range(40)] + [(i, i + 1) for i in range(100, 140)]
+    e = edges(spark, line).withColumn("net", F.lit(0)).select("net", "src", "dst")
+    pairs = spark.createDataFrame([(0, 0, 100), (0, 7, 140), (0, 3, 3), (0, 1, 2), (0, 1, 999)], "net int, src long, dst long")
+    found = []
+    assert jobs_of(spark, lambda: found.extend(paths.pair_distances(e, pairs).collect())) < 200
+    assert {(r["src"], r["dst"]): r["distance"] for r in found} == {(0, 100): None, (7, 140): None, (3, 3): 0, (1, 2): 1, (1, 999): None}
