@@ -17,6 +17,9 @@ from lattica.operators.network import degrees, induced, symmetric, vertices
 from lattica.operators.ranking import numbered
 from lattica.session import settled
 
+#: Components that are worked off inside tasks go in batches of about so many edges.
+ROWS_A_BATCH = 20_000
+
 
 def _travelled(linked: np.ndarray) -> np.ndarray:
     """How many shortest paths between all pairs use each edge of a dense network: forward by levels from all nodes at once, then back."""
@@ -39,27 +42,36 @@ def _travelled(linked: np.ndarray) -> np.ndarray:
     return (flow + flow.T) / 2
 
 
-def _one_by_one(links: pd.DataFrame, most: int) -> pd.DataFrame:
-    """The edges of a component in order of removal, the most travelled of what is left each time, ties to the smaller ends."""
-    ids = np.unique(np.concatenate([links["src"], links["dst"]]))
-    a, b = np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"])
+def _one_by_one(src: np.ndarray, dst: np.ndarray, most: int) -> list[tuple]:
+    """``(src, dst, step, turn)`` of a component's edges in order of removal, the most travelled of what is left each time, ties to the smaller ends."""
+    ids = np.unique(np.concatenate([src, dst]))
+    a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
     linked = np.zeros((len(ids), len(ids)))
     linked[a, b] = linked[b, a] = 1.0
-    order = []
-    for step in range(min(most, len(links))):
+    order, turn = [], np.inf
+    for step in range(min(most, len(src))):
         value = np.round(np.triu(_travelled(linked)), 9)
         i, j = np.unravel_index(int(np.argmax(value)), value.shape)
         linked[i, j] = linked[j, i] = 0.0
-        order.append((ids[i], ids[j], step, float(value[i, j])))
-    out = pd.DataFrame(order, columns=["src", "dst", "step", "turn"])
-    return out.assign(turn=np.minimum.accumulate(out["turn"].to_numpy()))
+        turn = min(turn, float(value[i, j]))
+        order.append((ids[i], ids[j], step, turn))
+    return order
+
+
+def _each_apart(links: pd.DataFrame, most: int) -> pd.DataFrame:
+    """``(component, src, dst, step, turn)`` for the components of ``links(component, src, dst)``, one after another."""
+    links = links.sort_values("component", kind="stable")
+    name, src, dst = (links[c].to_numpy() for c in ("component", "src", "dst"))
+    ends = np.append(np.flatnonzero(name[1:] != name[:-1]) + 1, len(name))
+    rows = [(name[a], *row) for a, b in zip(np.append(0, ends[:-1]), ends) for row in _one_by_one(src[a:b], dst[a:b], most)]
+    return pd.DataFrame(rows, columns=["component", "src", "dst", "step", "turn"])
 
 
 def removal_order(edges: DataFrame, share: float = 0.3, largest: int = 300, rounds: int = 10) -> DataFrame:
     """``(src, dst, place)``: the first ``share`` of all edges in the order in which the most travelled one is removed, from 1.
 
-    Components do not touch each other's paths, so each of at most ``largest`` nodes is worked off inside a task, one edge at
-    a time; of larger ones edges go in ``rounds`` batches, by joins. The orders are merged as a reader would who always
+    Components do not touch each other's paths, so each of at most ``largest`` nodes is worked off inside a task, many in a
+    batch, one edge at a time; of larger ones edges go in ``rounds`` batches, by joins. The orders are merged as a reader would who always
     takes the component whose next edge is travelled most: an edge waits for every edge before it in its component, so its
     turn comes with the least betweenness up to it.
     """
@@ -72,10 +84,12 @@ def removal_order(edges: DataFrame, share: float = 0.3, largest: int = 300, roun
     small = comp.groupBy("component").count().where(F.col("count") <= largest).select("component")
     type_ = dict(e.dtypes)["src"]
 
-    def work(key: tuple, links: pd.DataFrame) -> pd.DataFrame:
-        return _one_by_one(links, most).assign(component=key[0])[["component", "src", "dst", "step", "turn"]]
-
-    orders = [keyed.join(small, "component", "left_semi").groupBy("component").applyInPandas(work, f"component {type_}, src {type_}, dst {type_}, step long, turn double")]
+    # A fixed number of tasks: the components are few small rows, and much work.
+    inside = settled(keyed.join(small, "component", "left_semi"))
+    width = max(e.sparkSession.sparkContext.defaultParallelism * 8, -(-inside.count() // ROWS_A_BATCH))
+    dealt = inside.withColumn("batch", F.pmod(F.xxhash64("component"), F.lit(width)).cast("int")).repartition(width, "batch").groupBy("batch")
+    out = f"component {type_}, src {type_}, dst {type_}, step long, turn double"
+    orders = [settled(dealt.applyInPandas(lambda links: _each_apart(links, most), out))]  # numbering reads it twice
     left, batches = settled(keyed.join(small, "component", "left_anti")), []
     total, gone = left.count(), 0
     for i in range(1, rounds + 1):

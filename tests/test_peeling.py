@@ -117,6 +117,20 @@ def test_batches_are_not_sorted_on_the_driver(spark, monkeypatch):
     assert got[0] in ((5, 6), (6, 7)) and len(got) == 3
 
 
+def test_components_are_worked_off_once_in_a_fixed_number_of_tasks(spark, monkeypatch):
+    """Numbering reads its rows twice, and adaptive execution puts small shuffled components into one task."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    numbered, settled, read, written = peeling.numbered, peeling.settled, [], []
+    monkeypatch.setattr(peeling, "numbered", lambda df, *a, **k: read.append(plan(df)) or numbered(df, *a, **k))
+    monkeypatch.setattr(peeling, "settled", lambda df, *a: written.append(plan(df)) or settled(df, *a))
+    pairs = [(10 * i + a, 10 * i + b) for i in range(20) for a, b in ((0, 1), (1, 2), (2, 3), (0, 3), (3, 4))]
+    got = [(r["src"], r["dst"]) for r in peeling.removal_order(edges(spark, pairs), 0.2).orderBy("place").collect()]
+    assert got == [(10 * i + 3, 10 * i + 4) for i in range(20)]
+    work = [p for p in written if "FlatMapGroupsIn" in p]
+    assert len(work) == 1 and "REPARTITION_BY_NUM" in work[0]
+    assert not any("FlatMapGroupsIn" in p for p in read)
+
+
 def test_large_components_go_in_batches(spark):
     pairs = random_net(3, 26, 40, blocks=3)
     got = peeling.removal_order(edges(spark, pairs), 0.15, largest=5, rounds=2).orderBy("place").collect()
