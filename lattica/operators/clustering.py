@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.components import connected_components
@@ -137,12 +137,16 @@ def _leaf_counts(names: DataFrame, below: DataFrame) -> DataFrame:
 
 
 def tf_idf(tokens: DataFrame) -> DataFrame:
-    """``(doc, term, weight)`` from ``(doc, term, n)``: share of the document's tokens times log10 of documents over those with the term."""
-    counts = cut(tokens.groupBy("doc", "term").agg(F.sum("n").alias("n")))
-    per_doc = counts.groupBy("doc").agg(F.sum("n").alias("total"))
+    """``(doc, term, weight)`` from ``(doc, term, n)``: share of the document's tokens times log10 of documents over those with the term.
+
+    Tokens that come parted by document stay where they are until they meet the counts of their terms, by the only join;
+    others are dealt out by document first.
+    """
+    counts = tokens.where("doc is not null").groupBy("doc", "term").agg(F.sum("n").alias("n"))
+    counts = settled(counts.withColumn("total", F.sum("n").over(Window.partitionBy("doc"))))
     per_term = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    docs = per_doc.agg(F.count(F.lit(1)).alias("docs"))
-    t = counts.join(per_doc, "doc").join(per_term.repartition(F.xxhash64("term")), "term").crossJoin(F.broadcast(docs))
+    docs = counts.select("doc").distinct().agg(F.count(F.lit(1)).alias("docs"))
+    t = counts.join(per_term.repartition(F.xxhash64("term")), "term").crossJoin(F.broadcast(docs))
     return t.select("doc", "term", (F.col("n") / F.col("total") * F.log10(F.col("docs") / F.col("df"))).alias("weight"))
 
 

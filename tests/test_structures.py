@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -160,3 +161,16 @@ def test_spanning_forest_equals_kruskal(spark):
             want.add((a, b, d))
     got = clustering.spanning_forest(spark.createDataFrame(pairs, "src long, dst long, distance double")).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_tokens_parted_by_document_stay_until_they_meet_their_terms(spark, monkeypatch):
+    """Each deal of the tokens moves a row a document and term; by document they lie together from the first."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    settled, plans = clustering.settled, []
+    monkeypatch.setattr(clustering, "settled", lambda df, *a: plans.append(plan(df)) or settled(df, *a))
+    rows = [(1, "a", 1), (1, "a", 1), (1, "b", 2), (2, "a", 1), (2, "c", 1), (None, "a", 1)]
+    tokens = spark.createDataFrame(rows, "doc long, term string, n long").repartition("doc")
+    got = clustering.tf_idf(tokens)
+    assert sum(p.count("Exchange hashpartitioning(doc") for p in plans) == 1  # the test's own
+    weights = {(r["doc"], r["term"]): r["weight"] for r in got.collect()}
+    assert weights == pytest.approx({(1, "a"): 0.0, (1, "b"): 0.5 * math.log10(2), (2, "a"): 0.0, (2, "c"): 0.5 * math.log10(2)})
