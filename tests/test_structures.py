@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import clustering
+from lattica.operators import clustering, diffusion
 from lattica.sources import readers, writers
 
 
@@ -174,3 +174,16 @@ def test_tokens_parted_by_document_stay_until_they_meet_their_terms(spark, monke
     assert sum(p.count("Exchange hashpartitioning(doc") for p in plans) == 1  # the test's own
     weights = {(r["doc"], r["term"]): r["weight"] for r in got.collect()}
     assert weights == pytest.approx({(1, "a"): 0.0, (1, "b"): 0.5 * math.log10(2), (2, "a"): 0.0, (2, "c"): 0.5 * math.log10(2)})
+
+
+def test_permuted_modules_are_named_by_number_and_counted_by_size(spark, monkeypatch):
+    """Names as padded text make every round of the components carry text; sizes met module by module are far more rows than sizes."""
+    components, types = diffusion.connected_components, []
+    monkeypatch.setattr(diffusion, "connected_components", lambda e: types.append(dict(e.dtypes)["src"]) or components(e))
+    net = spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "src long, dst long")
+    kernel = spark.createDataFrame([(a, b, 1.0) for x, y in ((1, 2), (2, 3), (4, 5)) for a, b in ((x, y), (y, x))], "source long, node long, value double")
+    scores = spark.createDataFrame([(i, 1.0) for i in range(1, 6)], "node long, score double")
+    got = diffusion.module_significance(kernel, net, scores, 0.5, 2)
+    assert types == ["bigint", "struct<perm:int,id:bigint>"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3, 1.0, 1.0), (4, 2, 1.0, 1.0)]
+    assert diffusion.module_significance(kernel, net, scores.where("node < 4"), 0.5, 2).count() == 1
