@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import queries
 from lattica.operators import clustering, diffusion
 from lattica.sources import readers, writers
 
@@ -187,3 +188,13 @@ def test_permuted_modules_are_named_by_number_and_counted_by_size(spark, monkeyp
     assert types == ["bigint", "struct<perm:int,id:bigint>"]
     assert sorted(tuple(r) for r in got.collect()) == [(1, 3, 1.0, 1.0), (4, 2, 1.0, 1.0)]
     assert diffusion.module_significance(kernel, net, scores.where("node < 4"), 0.5, 2).count() == 1
+
+
+def test_the_network_is_built_once_for_a_search(spark, monkeypatch):
+    net, built = queries._net, []
+    monkeypatch.setattr(queries, "_net", lambda *a: built.append(a) or net(*a))
+    for name in ("edge_betweenness", "betweenness"):
+        monkeypatch.setattr(queries.motifs, name, lambda e, sources: e.join(sources, e["src"] == sources["node"]).select(F.lit(0.0).alias("betweenness")))
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(built) == 1
+        built.clear()
