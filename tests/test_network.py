@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import queries
 from lattica.operators import clustering, diffusion, enrichment, motifs, network, ontology, paths, random_nets, ranking
 from lattica.operators.components import connected_components
 
@@ -287,3 +288,52 @@ def test_keep_degrees_adds_no_edges(spark):
     pairs = [p for p in pairs if p[0] != p[1]]
     got = random_nets.keep_degrees(edges(spark, pairs)).count()
     assert 0.7 * len(pairs) <= got <= len(pairs)
+
+
+def test_betweenness_counts_paths_from_all_nodes(spark, monkeypatch):
+    """Paths from a few nodes are a sample; counted inside tasks or by joins, links and nodes have what all of them have."""
+    rng = random.Random(11)
+    pairs = sorted({tuple(sorted(rng.sample(range(0, 40), 2))) for _ in range(50)} | {(100, 101), (101, 102)})
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    want, through = dict.fromkeys(pairs, 0.0), dict.fromkeys(near, 0.0)
+    for s in near:
+        far, ways, queue = {s: 0}, {s: 1}, [s]
+        for x in queue:
+            for y in near[x]:
+                if y not in far:
+                    far[y], ways[y] = far[x] + 1, 0
+                    queue.append(y)
+                if far[y] == far[x] + 1:
+                    ways[y] += ways[x]
+        owed = dict.fromkeys(queue, 0.0)
+        for y in reversed(queue):
+            for x in near[y]:
+                if far[x] == far[y] - 1:
+                    flow = ways[x] / ways[y] * (1 + owed[y])
+                    owed[x] += flow
+                    want[min(x, y), max(x, y)] += flow / 2
+            if y != s:
+                through[y] += owed[y] / 2
+    e, n = edges(spark, pairs), len(near)
+    for most_links, work in ((10**6, 300), (50, 10**6)):
+        monkeypatch.setattr(motifs, "WORK", work)
+        got = {(r["src"], r["dst"]): r["betweenness"] for r in motifs.edge_betweenness(e, most_links=most_links).collect()}
+        assert got == pytest.approx(want)
+    ids = sorted(near)
+    a, b = np.array([(ids.index(x), ids.index(y)) for x in ids for y in near[x]]).T
+    flows, _ = motifs.travelled(a, b, (np.array(ids) >= 100).astype(int), np.arange(n), most_cells=7)
+    assert {(ids[x], ids[y]): f for x, y, f in zip(a, b, flows + flows[np.lexsort((a, b))]) if x < y} == pytest.approx({p: 2 * v for p, v in want.items()})
+    got = {r["node"]: r["betweenness"] * (n - 1) * (n - 2) / 2 for r in motifs.betweenness(e).collect()}
+    assert got == pytest.approx(through)
+
+
+def test_the_betweenness_queries_count_from_all_nodes(spark, monkeypatch):
+    asked = {}
+    for name in ("edge_betweenness", "betweenness"):
+        monkeypatch.setattr(queries.motifs, name, lambda e, sources: asked.setdefault("n", (sources.distinct().count(), network.vertices(e).count())) and e.withColumn("betweenness", F.lit(0.0)))
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        nodes, all_nodes = asked.pop("n")
+        assert nodes == all_nodes > 10
