@@ -337,3 +337,38 @@ def test_the_betweenness_queries_count_from_all_nodes(spark, monkeypatch):
         queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         nodes, all_nodes = asked.pop("n")
         assert nodes == all_nodes > 10
+
+
+def test_permuted_modules_equal_plain_counts(spark, monkeypatch):
+    """Inside tasks and by joins; places are permutations, and the query takes a thousand of them, not five."""
+    for n in (1, 2, 6, 33, 500):
+        assert all(sorted(diffusion.permuted_places(np.arange(n), n, p)) == list(range(n)) for p in range(5))
+    assert len({tuple(diffusion.permuted_places(np.arange(5), 5, p)) for p in range(2000)}) == 120
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(45)})
+    weight = {p: rng.choice([0.3, 0.1, 0.7]) for p in pairs}
+    score = {i: rng.choice([0.3, 0.5, 1 / 3, 0.9, None]) for i in range(44)}
+    kernel = spark.createDataFrame([(a, b, w) for (x, y), w in weight.items() for a, b in ((x, y), (y, x))], "source long, node long, value double")
+    scores = spark.createDataFrame(list(score.items()), "node long, score double")
+
+    def sizes(value):
+        kept = [(a, b) for a, b in pairs if max([s for s in (value[a], value[b]) if s is not None], default=0) * weight[a, b] >= 0.09]
+        label = {x: x for p in kept for x in p}
+        for _ in label:
+            for a, b in kept:
+                label[a] = label[b] = min(label[a], label[b])
+        return [list(label.values()).count(c) for c in set(label.values())]
+
+    order = sorted(score, key=lambda i: (score[i] is not None, score[i] or 0, i))
+    null = [sizes({i: score[order[q]] for i, q in zip(order, diffusion.permuted_places(np.arange(44), 44, p))}) for p in range(70)]
+    real = sizes(score)
+    many = {s: sum(x >= s for x in real) for s in real}
+    want = sorted((s, round(sum(sum(x >= s for x in one) >= many[s] for one in null) / 70, 9)) for s in real)
+    for most_links in (10**6, 0):
+        got = diffusion.module_significance(kernel, edges(spark, pairs), scores, 0.09, 70, most_links=most_links).collect()
+        assert sorted((r["size"], round(r["p_value"], 9)) for r in got) == want
+    asked = []
+    monkeypatch.setattr(queries, "_hot", lambda *a: (None, None, None))
+    monkeypatch.setattr(queries.diffusion, "module_significance", lambda *a: asked.append(a[4]) or spark.createDataFrame([(0.0, 0.0)], "p_value double, fdr double"))
+    queries.QUERIES["hot_module_significance"](spark, "/root/testdata/sf0.001")
+    assert asked == [1000]
