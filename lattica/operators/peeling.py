@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from lattica.operators.clustering import spanning_forest
 from lattica.operators.components import connected_components
 from lattica.operators.modularity import module_scores
-from lattica.operators.motifs import edge_betweenness
+from lattica.operators.motifs import edge_betweenness, travelled
 from lattica.operators.network import degrees, induced, symmetric, vertices
 from lattica.operators.ranking import numbered
 from lattica.session import settled
 
 #: Components that are worked off inside tasks go in batches of about so many edges.
 ROWS_A_BATCH = 20_000
+#: Components of at most so many edges are worked off inside a task, larger ones by joins, an edge a round of each.
+MOST_EDGES = 10_000
+#: Pieces of at most so many nodes are counted through as dense matrices.
+DENSE = 300
 
 
 def _travelled(linked: np.ndarray) -> np.ndarray:
@@ -42,20 +46,61 @@ def _travelled(linked: np.ndarray) -> np.ndarray:
     return (flow + flow.T) / 2
 
 
+def _counted(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """How many shortest paths use each edge ``a - b`` of a piece of ``n`` nodes."""
+    if n <= DENSE:
+        linked = np.zeros((n, n))
+        linked[a, b] = linked[b, a] = 1.0
+        return _travelled(linked)[a, b]
+    x, y, edge = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(np.arange(len(a)), 2)
+    order = np.argsort(x, kind="stable")
+    flows, _ = travelled(x[order], y[order], np.zeros(n, dtype=np.int64), np.arange(n))
+    return np.bincount(edge[order], weights=flows, minlength=len(a)) / 2
+
+
+def _reached(near: list[set], start: int) -> set:
+    met, front = {start}, [start]
+    while front:
+        front = [y for x in front for y in near[x] if y not in met and not met.add(y)]
+    return met
+
+
 def _one_by_one(src: np.ndarray, dst: np.ndarray, most: int) -> list[tuple]:
-    """``(src, dst, step, turn)`` of a component's edges in order of removal, the most travelled of what is left each time, ties to the smaller ends."""
+    """``(src, dst, step, turn)`` of a component's edges in order of removal, the most travelled of what is left each time, ties to the smaller ends.
+
+    A removal changes the paths of the piece it was in only, so only that one, or the two that it falls into, are counted anew.
+    """
     ids = np.unique(np.concatenate([src, dst]))
     a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
-    linked = np.zeros((len(ids), len(ids)))
-    linked[a, b] = linked[b, a] = 1.0
-    order, turn = [], np.inf
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    near = [set() for _ in ids]
+    edge = {}
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        near[x].add(y)
+        near[y].add(x)
+        edge[x, y] = k
+    value, out, turn = np.full(len(a), -np.inf), [], np.inf
+
+    def count(piece: set) -> None:
+        nodes = np.array(sorted(piece))
+        own = np.array(sorted(edge[x, y] for x in piece for y in near[x] if x < y), dtype=np.int64)
+        if len(own):
+            value[own] = np.round(_counted(np.searchsorted(nodes, a[own]), np.searchsorted(nodes, b[own]), len(nodes)), 9)
+
+    count(set(range(len(ids))))
     for step in range(min(most, len(src))):
-        value = np.round(np.triu(_travelled(linked)), 9)
-        i, j = np.unravel_index(int(np.argmax(value)), value.shape)
-        linked[i, j] = linked[j, i] = 0.0
-        turn = min(turn, float(value[i, j]))
-        order.append((ids[i], ids[j], step, turn))
-    return order
+        k = int(np.argmax(value))
+        turn = min(turn, float(value[k]))
+        out.append((ids[a[k]], ids[b[k]], step, turn))
+        value[k] = -np.inf
+        x, y = int(a[k]), int(b[k])
+        near[x].discard(y)
+        near[y].discard(x)
+        count(piece := _reached(near, x))
+        if y not in piece:
+            count(_reached(near, y))
+    return out
 
 
 def _each_apart(links: pd.DataFrame, most: int) -> pd.DataFrame:
@@ -67,13 +112,32 @@ def _each_apart(links: pd.DataFrame, most: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["component", "src", "dst", "step", "turn"])
 
 
-def removal_order(edges: DataFrame, share: float = 0.3, largest: int = 300, rounds: int = 10) -> DataFrame:
+def _rounds(left: DataFrame, most: int) -> DataFrame:
+    """``(component, src, dst, step, turn)`` of edges ``(component, src, dst)`` as by ``_one_by_one``, by joins: the most travelled edge of every component goes in each round."""
+    turns = left.select("component", F.lit(float("inf")).alias("turn")).distinct()
+    turns, taken = settled(turns), []
+    for step in range(most):
+        if left.isEmpty():
+            break
+        now = edge_betweenness(left.select("src", "dst")).join(left, ["src", "dst"])
+        first = F.min(F.struct((-F.round("betweenness", 9)).alias("least"), "src", "dst")).alias("e")
+        top = now.groupBy("component").agg(first).join(turns, "component")
+        top = settled(top.select("component", "e.src", "e.dst", F.lit(step).cast("long").alias("step"), F.least("turn", -F.col("e.least")).alias("turn")))
+        taken.append(top)
+        turns = top.select("component", "turn")
+        left = settled(left.join(top, ["src", "dst"], "left_anti").select("component", "src", "dst"), left)
+    return reduce(DataFrame.union, taken)
+
+
+def removal_order(edges: DataFrame, share: float = 0.3, largest: int | None = None, rounds: int = 10, most_edges: int = MOST_EDGES) -> DataFrame:
     """``(src, dst, place)``: the first ``share`` of all edges in the order in which the most travelled one is removed, from 1.
 
-    Components do not touch each other's paths, so each of at most ``largest`` nodes is worked off inside a task, many in a
-    batch, one edge at a time; of larger ones edges go in ``rounds`` batches, by joins. The orders are merged as a reader would who always
+    Components do not touch each other's paths, so each of at most ``most_edges`` edges is worked off inside a task, many in a
+    batch; larger ones by joins, an edge a round. Either way edges go one at a time, so the size does not change the order.
+    The orders are merged as a reader would who always
     takes the component whose next edge is travelled most: an edge waits for every edge before it in its component, so its
-    turn comes with the least betweenness up to it.
+    turn comes with the least betweenness up to it. Only if ``largest`` is given do edges of components of more nodes than that go in
+    ``rounds`` batches, as ``betweenness_clusters`` does: fewer rounds, and another order.
     """
     e = settled(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct())
     most = int(e.count() * share)
@@ -81,16 +145,29 @@ def removal_order(edges: DataFrame, share: float = 0.3, largest: int = 300, roun
         return e.select("src", "dst", F.lit(0).cast("long").alias("place")).limit(0)
     comp = settled(connected_components(e))
     keyed = settled(e.join(comp.withColumnRenamed("node", "src"), "src").select("component", "src", "dst"))
-    small = comp.groupBy("component").count().where(F.col("count") <= largest).select("component")
+    sizes = keyed.groupBy("component").agg(F.count(F.lit(1)).alias("edges")).join(comp.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")), "component")
+    batched = F.lit(False) if largest is None else F.col("nodes") > largest
+    sizes = settled(sizes.select("component", batched.alias("batched"), (F.col("edges") <= most_edges).alias("fits")))
     type_ = dict(e.dtypes)["src"]
 
     # A fixed number of tasks: the components are few small rows, and much work.
-    inside = settled(keyed.join(small, "component", "left_semi"))
+    inside = settled(keyed.join(sizes.where(~F.col("batched") & F.col("fits")), "component", "left_semi"))
     width = max(e.sparkSession.sparkContext.defaultParallelism * 8, -(-inside.count() // ROWS_A_BATCH))
     dealt = inside.withColumn("batch", F.pmod(F.xxhash64("component"), F.lit(width)).cast("int")).repartition(width, "batch").groupBy("batch")
     out = f"component {type_}, src {type_}, dst {type_}, step long, turn double"
     orders = [settled(dealt.applyInPandas(lambda links: _each_apart(links, most), out))]  # numbering reads it twice
-    left, batches = settled(keyed.join(small, "component", "left_anti")), []
+    large = settled(keyed.join(sizes.where(~F.col("batched") & ~F.col("fits")), "component", "left_semi"))
+    if not large.isEmpty():
+        orders.append(_rounds(large, most))
+    left = settled(keyed.join(sizes.where("batched"), "component", "left_semi"))
+    orders += _batches(left, most, rounds)
+    merged = numbered(reduce(DataFrame.union, orders), [], [F.desc("turn"), F.col("component"), F.col("step")], "place")
+    return merged.where(F.col("place") <= most).select("src", "dst", "place")
+
+
+def _batches(left: DataFrame, most: int, rounds: int) -> list[DataFrame]:
+    """``(component, src, dst, step, turn)`` of edges ``(component, src, dst)`` that go in ``rounds`` batches of the most travelled ones; none without edges."""
+    batches = []
     total, gone = left.count(), 0
     for i in range(1, rounds + 1):
         take = round(min(most, total) * i / rounds) - gone
@@ -102,13 +179,13 @@ def removal_order(edges: DataFrame, share: float = 0.3, largest: int = 300, roun
             batches.append(placed.select("component", "src", "dst", (F.col("rank") + i * total).alias("step"), F.round("betweenness", 9).alias("own"), F.lit(i).alias("batch")))
             left = settled(left.join(top, ["src", "dst"], "left_anti").select("component", "src", "dst"), left)
             gone += take
-    if batches:  # a batch falls from its first edge on; before it, only the least of each earlier batch counts
-        found = settled(reduce(DataFrame.union, batches))
-        before = F.min("least").over(Window.partitionBy("component").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1))
-        least = found.groupBy("component", "batch").agg(F.min("own").alias("least")).withColumn("least", before)
-        orders.append(found.join(least, ["component", "batch"]).select("component", "src", "dst", "step", F.least("own", "least").alias("turn")))
-    merged = numbered(reduce(DataFrame.union, orders), [], [F.desc("turn"), F.col("component"), F.col("step")], "place")
-    return merged.where(F.col("place") <= most).select("src", "dst", "place")
+    if not batches:
+        return []
+    # A batch falls from its first edge on; before it, only the least of each earlier batch counts.
+    found = settled(reduce(DataFrame.union, batches))
+    before = F.min("least").over(Window.partitionBy("component").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1))
+    least = found.groupBy("component", "batch").agg(F.min("own").alias("least")).withColumn("least", before)
+    return [found.join(least, ["component", "batch"]).select("component", "src", "dst", "step", F.least("own", "least").alias("turn"))]
 
 
 def removal_sweep(edges: DataFrame, order: DataFrame, shares: list[float] | None = None) -> DataFrame:
@@ -137,7 +214,7 @@ def _swept(edges: DataFrame, order: DataFrame, shares: list[float] | None) -> tu
     return settled(scores.select(F.col("net").alias("removed"), "modularity", "clusters")), clusters
 
 
-def best_removal(edges: DataFrame, shares: list[float] | None = None, largest: int = 300, rounds: int = 10, digits: int = 9) -> DataFrame:
+def best_removal(edges: DataFrame, shares: list[float] | None = None, largest: int | None = None, rounds: int = 10, digits: int = 9) -> DataFrame:
     """``(removed, modularity, node, cluster)``: the clusters of the cut of most modularity, the fewest edges removed of equal ones.
 
     Modularities are compared to ``digits`` places. No cut above 0 gives no rows.

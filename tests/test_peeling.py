@@ -186,3 +186,23 @@ def test_prefix_clique_grows_in_the_whole_network(spark):
     got = {r["node"]: r["added"] for r in peeling.prefix_clique(edges(spark, pairs), names, "Z").collect()}
     assert got == {1: False, 2: False, 3: False, 9: True}
     assert network.vertices(edges(spark, pairs)).count() == 6
+
+
+def test_the_size_of_a_component_does_not_change_the_order(spark):
+    """Inside a task and by joins edges go one at a time; components over 300 nodes went in ten batches."""
+    pairs = random_net(3, 14, 20, blocks=2)
+    order = lambda p, **k: [(r["src"], r["dst"]) for r in peeling.removal_order(edges(spark, p), 0.3, **k).orderBy("place").collect()]
+    assert order(pairs, most_edges=5) == order(pairs) == plain_removals(pairs, 6)
+    long = [(i, i + 1) for i in range(320)]
+    got = order(long)
+    assert got == [tuple(map(int, r[:2])) for r in peeling._one_by_one(*peeling.np.array(long).T, 96)]
+    assert got[0] == (159, 160) or got[0] == (160, 161)
+    assert got[1:3] == [(240, 241), (80, 81)] or set(got[1:3]) & {(79, 80), (80, 81), (239, 240), (240, 241)}
+
+
+def test_pieces_are_counted_alike_dense_or_not(monkeypatch):
+    pairs = random_net(9, 60, 90)
+    ends = peeling.np.array(pairs).T
+    dense = peeling._one_by_one(*ends, 27)
+    monkeypatch.setattr(peeling, "DENSE", 5)
+    assert peeling._one_by_one(*ends, 27) == dense and [tuple(map(int, r[:2])) for r in dense] == plain_removals(pairs, 27)
