@@ -5,7 +5,7 @@ from collections import Counter, deque
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import network, paths
+from lattica.operators import network, paths, random_nets
 
 
 def edges(spark, pairs):
@@ -214,3 +214,16 @@ def test_pairs_apart_are_not_searched(spark):
     found = []
     assert jobs_of(spark, lambda: found.extend(paths.pair_distances(e, pairs).collect())) < 200
     assert {(r["src"], r["dst"]): r["distance"] for r in found} == {(0, 100): None, (7, 140): None, (3, 3): 0, (1, 2): 1, (1, 999): None}
+
+
+def test_random_networks_bring_no_nodes_or_edges_to_the_driver(spark, monkeypatch):
+    """A broadcast goes through the driver; sizes of what was written are guessed far too small for one."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    written = []
+    settled = random_nets.settled
+    monkeypatch.setattr(random_nets, "settled", lambda df: written.append(plan(df)) or settled(df))
+    nodes = spark.range(40).withColumnRenamed("id", "node")
+    net = random_nets.random_graph(nodes, 60).localCheckpoint()
+    assert net.count() == 60 and len(written) == 1
+    random_nets.random_pairs(nodes, 10, net)
+    assert not any("Broadcast" in p for p in [*written, plan(network.clustering_coefficient(net))])
