@@ -227,3 +227,33 @@ def test_random_networks_bring_no_nodes_or_edges_to_the_driver(spark, monkeypatc
     assert net.count() == 60 and len(written) == 1
     random_nets.random_pairs(nodes, 10, net)
     assert not any("Broadcast" in p for p in [*written, plan(network.clustering_coefficient(net))])
+
+
+def test_weighted_distances_give_targets_only(spark):
+    """Of the rows of all nodes an average over a set needs few; the others are not written out by the tasks."""
+    rng = random.Random(4)
+    pairs = sorted({tuple(sorted(rng.sample(range(20), 2))) for _ in range(30)})
+    e = spark.createDataFrame([(a, b, float(1 + (a * 3 + b) % 7)) for a, b in pairs], "src long, dst long, weight double")
+    s, t = (spark.createDataFrame([(i,) for i in ids], "node long") for ids in ((1, 2, 3), (2, 5, 7, 99)))
+    every = {tuple(r) for r in paths.weighted_distances(e, s).collect()}
+    for most_links in (10**6, 0):
+        got = [tuple(r) for r in paths.weighted_distances(e, s, most_links=most_links, targets=t).collect()]
+        assert len(got) == len(set(got)) and set(got) == {r for r in every if r[1] in (2, 5, 7)}
+
+
+def test_weighted_searches_try_links_of_nodes_that_fell_only(monkeypatch):
+    """All links for all sources in every round are work that grows with the longest path."""
+    tried = []
+
+    class Minimum:
+        def at(self, far, cell, distance):
+            tried.append(len(cell))
+            for c, d in zip(cell, distance):
+                far[c] = min(far[c], d)
+
+    ends = [(i, i + 1) for i in range(200)]
+    both = ends + [(b, a) for a, b in ends]
+    links = paths.pa.table({"node": [a for a, _ in both], "neighbour": [b for _, b in both], "weight": [1.0 + a % 3 for a, _ in both]})
+    monkeypatch.setattr(paths.np, "minimum", Minimum())
+    got = paths._nearest(links, paths.pa.table({"source": [0, 100]}), None)
+    assert sum(tried) == 2 * 200 and got.num_rows == 2 * 201
